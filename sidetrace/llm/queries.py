@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sidetrace.llm import dac, packing
+from sidetrace.llm import chat, dac, jaccard, media, packing
 from sidetrace.llm.common import table
 
 
+#: The conversation that op1 formats beside those of the table.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_trees(chat.conversation_messages(rows.union(extra))))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store_text(table(spark, sf_dir, "documents")))
+
+
 def op6_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), end_id=0)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op3_media": op3_media,
     "op6_dac": op6_dac,
+    "op7_jaccard": op7_jaccard,
     "op10_packing": op10_packing,
 }
 

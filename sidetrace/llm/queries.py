@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sidetrace.llm import chat, dac, jaccard, media, packing
+from sidetrace.llm import chat, dac, jaccard, media, packing, toxicity
 from sidetrace.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op6_dac": op6_dac,
     "op7_jaccard": op7_jaccard,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 

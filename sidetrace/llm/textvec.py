@@ -67,9 +67,15 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word in order, and for each text the index of its first word (one more at the end)."""
+    h, first, _ = words_and_parts(data, offsets)
+    return h, first
+
+
+def words_and_parts(data: np.ndarray, offsets: np.ndarray, starts: tuple[int, ...] = (), ends: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """words, and hashes of the first or last so many bytes of each word, one array for each length; a shorter word is its own part."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), [np.zeros(0, np.uint64)] * (len(starts) + len(ends))
     solid = ~_SPACE[data]
     before = np.empty(n, bool)
     before[0] = False
@@ -85,8 +91,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER[data] * power, out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * _STEP), np.searchsorted(start, offsets).astype(np.int64)
+
+    def span(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+        return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _STEP + np.uint64(kind))
+
+    parts = [span(start, np.minimum(start + k, end), k << 8) for k in starts] + [span(np.maximum(end - k, start), end, k << 16) for k in ends]
+    return span(start, end, 0), np.searchsorted(start, offsets).astype(np.int64), parts
 
 
 def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

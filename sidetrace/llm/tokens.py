@@ -11,12 +11,15 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: ASCII and Latin letters, digits and white space of the pattern's classes; the texts that it can split.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ƺ"
 _KNOWN = re.compile("[\t\n\r\x20-\x7e¡-¬®-ƺ–—‘’“”…€]*")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9²³¹¼½¾]+| ?[^\s{_LETTER}0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
+_WORD = re.compile(rf" ?[{_LETTER}]+")
 #: Pieces remembered by one Python worker, and characters split at once; neither changes any id.
-MEMORY, BLOCK = 600_000, 500_000
+MEMORY, BLOCK = 400_000, 500_000
 
 
 @lru_cache(maxsize=4)
@@ -34,10 +37,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of single pieces of _PIECE. Words are encoded as lines of one text, which the pattern takes apart again."""
+        words = [p for p in pieces if _WORD.fullmatch(p)]
+        out: dict[str, bytes] = {}
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.frombuffer(self._library(["\n".join(part)])[0], "<u4")
+            ends = np.flatnonzero(ids == self.newline).tolist()
+            raw = ids.tobytes()
+            out.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)], strict=True))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self._library(rest), strict=True))
+        return [out[p] for p in pieces]
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
         out: list[bytes] = []
@@ -50,11 +69,15 @@ class Encoder:
                 j += 1
             split = [_PIECE.findall(x) if x and _KNOWN.fullmatch(x) else None for x in texts[i:j]]
             new = set().union(*(x for x in split if x)) - memory.keys()
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
+            if len(memory) + len(new) > MEMORY:  # what this block uses stays, the rest becomes the older half
+                self.older, memory = memory, {}
+                self.memory = memory
                 new = set().union(*(x for x in split if x))
             if new:
-                memory.update(zip(new, self._library(list(new)), strict=True))
+                for p in new & self.older.keys():
+                    memory[p] = self.older[p]
+                fresh = list(new - self.older.keys())
+                memory.update(zip(fresh, self._encode_pieces(fresh), strict=True))
             for text, pieces in zip(texts[i:j], split, strict=True):
                 out.append(b"".join(map(memory.__getitem__, pieces)) if pieces is not None else self._library([text])[0] if text else b"")
             i = j

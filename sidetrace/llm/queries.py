@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sidetrace.llm import chat, dac, jaccard, media, packing, toxicity
+from sidetrace.llm import chat, dac, html, jaccard, media, packing, toxicity
 from sidetrace.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_text(table(spark, sf_dir, "documents")))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), end_id=0)
 
@@ -44,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op3_media": op3_media,
+    "op4_html": op4_html,
     "op6_dac": op6_dac,
     "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,

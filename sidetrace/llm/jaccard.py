@@ -2,9 +2,10 @@
 
 Rows of the matrix are distinct n-gram sets. Two sets x, y of Jaccard similarity t or more differ in at most
 (|x| + |y|) (1 - t) / (1 + t) n-grams. Sizes fall into classes such that linked sets lie in one class or in neighbouring
-ones; in each class the n-gram space is cut by hash into one block of columns more than the largest such difference, so
-linked sets agree on all columns of some block. Rows that share the content of a block are candidates. (Blocks in which a
-row has no column say little; such rows are cut once more by another hash, and again, before empty blocks count.)
+ones; in each class the n-gram space is cut by hash into more blocks of columns than the largest such difference, so
+linked sets agree on all columns of some blocks. Rows that share the content of a block are candidates. (Empty blocks say
+nothing, so there are a few blocks to spare; a row with more empty ones is cut once more by another hash, and again, before
+empty blocks count as content.)
 Candidates form groups; the incidence of a group is multiplied with its transpose, block of columns by block of columns,
 the overlap counts accumulate, and pairs below the bound that their sizes set are discarded. Large groups are cut into
 tiles, and each pair of tiles is one product, so no group meets in one task. Copies of a set are one row throughout.
@@ -14,6 +15,7 @@ No link is lost: the blocks are a pigeonhole argument, not a sketch. Sets are he
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,16 +66,24 @@ class Blocks:
             self.tops.append(max(low, low * 100 // self.percent))
         return int(np.searchsorted(self.tops, size))
 
-    def number(self, level: int) -> int:
-        self.level(self.tops[-1] + 1) if level >= len(self.tops) else None
-        return 2 * self.tops[level] * (100 - self.percent) // (100 + self.percent) + 1
+    def number(self, level: int) -> tuple[int, int]:
+        """Blocks of a level, and how many of them may be empty in a row whose other blocks still suffice."""
+        self.level(self.tops[min(level, len(self.tops) - 1)] + 1)
+        low, high = self.tops[level], self.tops[level + 1]
+        most = (low + high) * (100 - self.percent) // (100 + self.percent)
+        spare = 0 if most == 0 else 1 + math.ceil(2 * (most + 1) * math.exp(-0.85 * low / (most + 1)))
+        return most + 1 + spare, spare
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
-        """The block keys of a set, for its own class and for the next."""
+        """The block keys of a set, for its own class (with the next) and for the one below (with its own).
+
+        Two linked rows differ in at most blocks - 1 - spare columns, so more than ``spare`` blocks agree; if a row has no
+        more than ``spare`` empty blocks, it agrees with the other in a block that is not empty.
+        """
         own = self.level(len(grams))
         out = []
-        for level in (own, own + 1):
-            k = self.number(level)
+        for level in (own, own - 1) if own > 1 else (own,):
+            k, spare = self.number(level)
             for cutting in range(CUTS):
                 h = grams if not cutting else np.sort(textvec.mix(grams + np.uint64(cutting)))
                 block = (h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
@@ -84,9 +94,9 @@ class Blocks:
                 content = total[at[1:]] - total[at[:-1]]
                 place = np.arange(k, dtype=np.uint64) + np.uint64((level * CUTS + cutting) << 32)
                 key = textvec.mix(content + textvec.mix(place))
-                last = cutting == CUTS - 1
-                out.append(key if last else key[~empty])
-                if not empty.any():
+                enough = int(empty.sum()) <= spare
+                out.append(key if not enough and cutting == CUTS - 1 else key[~empty])
+                if enough:
                     break
         return np.concatenate(out)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sidetrace.llm import chat, dac, html, jaccard, media, packing, toxicity
+from sidetrace.llm import chat, dac, decontam, html, jaccard, media, packing, toxicity
 from sidetrace.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8, coverage=0.5)
+
+
 def op6_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), end_id=0)
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op3_media": op3_media,
     "op4_html": op4_html,
+    "op5_decontam": op5_decontam,
     "op6_dac": op6_dac,
     "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,

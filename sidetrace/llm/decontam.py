@@ -27,38 +27,37 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&~_-–—“”‘’«»…¿¡"
 _ENDS = "[.!?:;…|]"
 
 
-def tokens(text: Column) -> Column:
-    """Array of (raw: the word without edge punctuation, lower-cased; form: the template token)."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(text, r"[\s|]+", " ")), " "), lambda w: w != "")
+def template(text: Column) -> Column:
+    """Array of (raw: the word without edge punctuation, lower-cased; form: the template token), without words that are all punctuation.
 
-    def one(w: Column, i: Column, all_: Column) -> Column:
-        bare = F.btrim(w, F.lit(PUNCTUATION))
-        low = F.lower(bare)
-        starts = (i == 0) | F.coalesce(F.try_element_at(all_, i), F.lit(".")).rlike(_ENDS + "\\W*$")
-        form = (
+    Each array is bound to a lambda variable once; named twice as a column, it would be computed for every word.
+    """
+
+    def form(t: Column) -> Column:
+        bare, low = t["bare"], t["low"]
+        return (
             F.when(bare.rlike(r"^[+-]?[$€£]?\d[\d.,/:]*[%$€£]?$"), NUMBER)
             .when(low.isin(UNITS), UNIT)
-            .when((low != bare) & (F.upper(bare) != bare) & ~starts, NAME)
+            .when((low != bare) & (F.upper(bare) != bare) & ~t["starts"], NAME)
             .otherwise(low)
         )
-        return F.struct(low.alias("raw"), form.alias("form"))
-
-    return F.transform(words, lambda w, i: one(w, i, words))
 
+    def one(w: Column, before: Column) -> Column:
+        bare = F.btrim(w, F.lit(PUNCTUATION))
+        return F.struct(bare.alias("bare"), F.lower(bare).alias("low"), before.rlike(_ENDS + "\\W*$").alias("starts"))
 
-def template(text: Column) -> tuple[Column, Column]:
-    """Raw words and template tokens of a text, both without empty ones (words that were all punctuation)."""
-    kept = F.filter(tokens(text), lambda t: t["raw"] != "")
-    return F.transform(kept, lambda t: t["raw"]), F.transform(kept, lambda t: t["form"])
+    words = F.filter(F.split(text, r"[\s|]+"), lambda w: w != "")
+    found = F.transform(F.array(words), lambda ws: F.zip_with(ws, F.concat(F.array(F.lit(".")), ws), lambda w, before: F.when(w.isNotNull(), one(w, before))))[0]
+    kept = F.filter(found, lambda t: t.isNotNull() & (t["low"] != ""))
+    return F.transform(kept, lambda t: F.struct(t["low"].alias("raw"), form(t).alias("form")))
 
 
 def windows(items: DataFrame, n: int) -> DataFrame:
     """Rows (item_id, at, size, hash, anchor, offset, raw, n_windows) of the items' windows; those of placeholders alone are left out."""
-    raw, form = template(text_or_empty("text"))
-    t = items.where("item_id is not null").select("item_id", raw.alias("raw"), form.alias("form")).where("size(form) > 0")
-    size = F.least(F.size("form"), F.lit(n))
-    w = t.select("item_id", "raw", "form", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("form") - size)).alias("at"))
-    w = w.select("item_id", "at", "size", F.slice("raw", F.col("at") + 1, F.col("size")).alias("raw"), F.slice("form", F.col("at") + 1, F.col("size")).alias("form"))
+    t = items.where("item_id is not null").select("item_id", template(text_or_empty("text")).alias("t")).where("size(t) > 0")
+    size = F.least(F.size("t"), F.lit(n))
+    w = t.select("item_id", "t", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("t") - size)).alias("at"))
+    w = w.select("item_id", "at", F.slice("t", F.col("at") + 1, F.col("size")).alias("t")).select("item_id", "at", "t.raw", "t.form")
     w = w.where(F.exists("form", lambda x: ~x.isin(NUMBER, NAME, UNIT))).distinct()
     words = w.select("item_id", F.explode("form").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df"))
     each = w.select("item_id", "at", "raw", "form", F.posexplode("form").alias("offset", "word")).where(~F.col("word").isin(NUMBER, NAME, UNIT)).join(words, "word")
@@ -70,20 +69,20 @@ def windows(items: DataFrame, n: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """Rows (doc_id, item_id, shift, at, n_windows, pairs) of windows that documents and items share."""
     w = windows(items, n).checkpoint()
-    raw, form = template(text_or_empty("text"))
-    d = docs.where("doc_id is not null").select("doc_id", raw.alias("d_raw"), form.alias("d_form"))
+    d = docs.where("doc_id is not null").select("doc_id", template(text_or_empty("text")).alias("t"))
     places = w.select("anchor", "offset", "size").distinct()
-    hit = d.select("doc_id", "d_raw", "d_form", F.posexplode("d_form").alias("pos", "anchor"))
     if within(places, 200_000):
-        # one row an anchor, so that the words of a document are looked up once each
+        # one row an anchor, so that each word of a document is looked up once
         by_word = places.groupBy("anchor").agg(F.collect_set(F.struct("offset", "size")).alias("spots"))
-        hit = hit.join(F.broadcast(by_word), "anchor").select("doc_id", "d_raw", "d_form", "pos", F.explode("spots").alias("s")).select("doc_id", "d_raw", "d_form", (F.col("pos") - F.col("s.offset")).alias("start"), F.col("s.size").alias("size"))
+        hit = d.select("doc_id", "t", F.posexplode("t").alias("pos", "word")).join(F.broadcast(by_word), F.col("word.form") == F.col("anchor"))
+        hit = hit.select("doc_id", "t", "pos", F.explode("spots").alias("s")).select("doc_id", "t", (F.col("pos") - F.col("s.offset")).alias("start"), F.col("s.size").alias("size"))
     else:
         # the anchors do not fit: only positions are shuffled, and the documents join again by id
-        found = d.select("doc_id", F.posexplode("d_form").alias("pos", "anchor")).join(places, "anchor").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "size").distinct()
+        found = d.select("doc_id", F.posexplode("t.form").alias("pos", "anchor")).join(places, "anchor").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "size").distinct()
         hit = found.join(d, "doc_id")
-    cut = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("d_form")))
-    cut = cut.select("doc_id", "start", F.slice("d_raw", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")).alias("d_raw"), F.slice("d_form", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")).alias("d_form")).withColumn("hash", F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")))
+    cut = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("t")))
+    cut = cut.select("doc_id", "start", F.slice("t", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")).alias("t"))
+    cut = cut.select("doc_id", "start", F.col("t.raw").alias("d_raw"), F.col("t.form").alias("d_form")).withColumn("hash", F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")))
     both = cut.join(small_or_shuffled(w, 50_000), "hash").where("d_form = form")
     slots = F.filter(F.transform(F.sequence(F.lit(1), F.size("form")), lambda i: F.when(F.element_at("form", i).isin(NUMBER, NAME, UNIT), F.struct((F.col("at") + i).alias("slot"), F.element_at("raw", i).alias("item"), F.element_at("d_raw", i).alias("doc")))), lambda x: x.isNotNull())
     return both.select("doc_id", "item_id", (F.col("start") - F.col("at")).alias("shift"), "at", "n_windows", slots.alias("pairs"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sidetrace.llm import chat, dac, decontam, html, jaccard, media, packing, toxicity
+from sidetrace.llm import chat, dac, decontam, html, jaccard, licenses, lm, media, packing, toxicity
 from sidetrace.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_trees(chat.conversation_messages(rows.union(extra))))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good; the background is all other documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_text(table(spark, sf_dir, "documents")))
 
@@ -40,6 +46,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -51,11 +61,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_lm": op2_lm,
     "op3_media": op3_media,
     "op4_html": op4_html,
     "op5_decontam": op5_decontam,
     "op6_dac": op6_dac,
     "op7_jaccard": op7_jaccard,
+    "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }

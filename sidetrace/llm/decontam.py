@@ -3,8 +3,8 @@
 Tokens are lower-cased words without punctuation at their edges. Numbers, units of measure and names (words with a capital
 that neither begin a sentence nor are all capitals) become typed placeholders, so that a question with other parameters has the same templates.
 Windows of n template tokens of the items (an item of fewer tokens is one window) are hash-joined with those of the
-documents; each window is found by its rarest token, its anchor, so only document positions of an anchor are hashed at
-all. Matches on one alignment of an item with a document count together, if they are slot-consistent: the values behind
+documents. Each window has an anchor, its rarest token; only documents whose words hold the anchors of as many windows
+of an item as it takes have their templates made at all, which loses none. Matches on one alignment of an item with a document count together, if they are slot-consistent: the values behind
 an item's placeholder are the same wherever that value occurs.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sidetrace.llm.common import prepare, small_or_shuffled, text_or_empty, within
+from sidetrace.llm.common import prepare, small_or_shuffled, text_or_empty
 
 NUMBER, NAME, UNIT = "⟨num⟩", "⟨name⟩", "⟨unit⟩"
 #: Units and currencies, singular and plural. Fixed values.
@@ -25,6 +25,7 @@ UNITS = (
 ).split()
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&~_-–—“”‘’«»…¿¡"
 _ENDS = "[.!?:;…|]"
+_NO_WORD = r"[^\p{L}\p{N}]+"
 
 
 def template(text: Column) -> Column:
@@ -66,23 +67,35 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     return best.select("item_id", "at", F.size("form").alias("size"), F.xxhash64(F.size("form"), F.array_join("form", " ")).alias("hash"), F.col("b.word").alias("anchor"), F.col("b.offset").alias("offset"), "raw", "form", F.count("*").over(count).alias("n_windows"))
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+def suspects(docs: DataFrame, w: DataFrame, coverage: float) -> DataFrame:
+    """Rows (doc_id) of documents that may hold an item: the anchors of enough of its windows are among their words.
+
+    A shared window shares its anchor, so a document that holds ``coverage`` of an item's windows holds anchors that stand
+    for as many. Words are cut at everything but letters and digits here, which splits no part of an anchor's key.
+    """
+    keys = w.select("item_id", "n_windows", F.element_at(F.array_sort(F.filter(F.split("anchor", _NO_WORD), lambda x: x != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1).alias("word"))
+    keys = keys.groupBy("item_id", "n_windows", "word").agg(F.count("*").alias("stands_for"))
+    words = docs.select("doc_id", F.explode(F.split(F.lower(text_or_empty("text")), _NO_WORD)).alias("word"))
+    hit = words.join(small_or_shuffled(keys, 200_000), "word").groupBy("doc_id", "item_id", "word").agg(F.max("stands_for").alias("n"), F.max("n_windows").alias("n_windows"))
+    return hit.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc_id").distinct()
+
+
+def matches(docs: DataFrame, items: DataFrame, n: int, coverage: float) -> DataFrame:
     """Rows (doc_id, item_id, shift, at, n_windows, pairs) of windows that documents and items share."""
     w = windows(items, n).checkpoint()
-    d = docs.where("doc_id is not null").select("doc_id", template(text_or_empty("text")).alias("t"))
-    places = w.select("anchor", "offset", "size").distinct()
-    if within(places, 200_000):
-        # one row an anchor, so that each word of a document is looked up once
-        by_word = places.groupBy("anchor").agg(F.collect_set(F.struct("offset", "size")).alias("spots"))
-        hit = d.select("doc_id", "t", F.posexplode("t").alias("pos", "word")).join(F.broadcast(by_word), F.col("word.form") == F.col("anchor"))
-        hit = hit.select("doc_id", "t", "pos", F.explode("spots").alias("s")).select("doc_id", "t", (F.col("pos") - F.col("s.offset")).alias("start"), F.col("s.size").alias("size"))
-    else:
-        # the anchors do not fit: only positions are shuffled, and the documents join again by id
-        found = d.select("doc_id", F.posexplode("t.form").alias("pos", "anchor")).join(places, "anchor").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "size").distinct()
-        hit = found.join(d, "doc_id")
-    cut = hit.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("t")))
-    cut = cut.select("doc_id", "start", F.slice("t", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")).alias("t"))
-    cut = cut.select("doc_id", "start", F.col("t.raw").alias("d_raw"), F.col("t.form").alias("d_form")).withColumn("hash", F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")))
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    d = docs.join(small_or_shuffled(suspects(docs, w, coverage).checkpoint()), "doc_id", "left_semi").select("doc_id", template(text_or_empty("text")).alias("t"))
+    sizes = [r[0] for r in w.select("size").distinct().orderBy("size").collect()]  # n values at most
+
+    def all_windows(size: int) -> Column:
+        starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(k.alias("start"), F.slice("t", k + 1, size).alias("t")))
+
+    cuts = [all_windows(size) for size in sizes]
+    if not cuts:
+        cuts = [F.array().cast("array<struct<start:int,t:array<struct<raw:string,form:string>>>>")]
+    cut = d.select("doc_id", F.explode(F.concat(*cuts)).alias("c")).select("doc_id", "c.start", F.col("c.t.raw").alias("d_raw"), F.col("c.t.form").alias("d_form"))
+    cut = cut.withColumn("hash", F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")))
     both = cut.join(small_or_shuffled(w, 50_000), "hash").where("d_form = form")
     slots = F.filter(F.transform(F.sequence(F.lit(1), F.size("form")), lambda i: F.when(F.element_at("form", i).isin(NUMBER, NAME, UNIT), F.struct((F.col("at") + i).alias("slot"), F.element_at("raw", i).alias("item"), F.element_at("d_raw", i).alias("doc")))), lambda x: x.isNotNull())
     return both.select("doc_id", "item_id", (F.col("start") - F.col("at")).alias("shift"), "at", "n_windows", slots.alias("pairs"))
@@ -97,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 8, coverage: float
     count once. Other columns are not read.
     """
     prepare(docs.sparkSession)
-    m = matches(docs, items, n)
+    m = matches(docs, items, n, coverage)
     found = m.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
     mapped = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["doc"])))

@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, segment, docs_in[0], len(docs_in), len(ids), data), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"].to_pylist(), coder.ids(batch["text"].to_pylist()), strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), coder.ids(batch["text"]), strict=True):
                 docs_in.append(doc)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1

@@ -49,7 +49,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tok
         encode = encoder(path)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encode.ids(batch["text"].to_pylist()), strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode.ids(batch["text"]), strict=True):
                 ids += end
                 start = 0
                 for k, n in enumerate(cut(len(ids) // 4, capacity)):

@@ -65,6 +65,14 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         i = j
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, case kept."""
+    power, inverse = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _STEP)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word in order, and for each text the index of its first word (one more at the end)."""
     h, first, _ = words_and_parts(data, offsets)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sidetrace.plans import audit, joins, schedules, spatial
+from sidetrace.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (schedules, joins, spatial, audit):
+    QUERIES |= _module.R.queries
+    ORACLE_SQL |= _module.R.sql

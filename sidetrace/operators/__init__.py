@@ -1,0 +1 @@
+"""Operators that are more than one built-in expression."""

@@ -1,9 +1,9 @@
 """License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory. DataFrame operations only.
 
 Each line of a file is a candidate header. Templates are few and of bounded size; a word's weight is its count times its
-idf over the templates, a word of no template having the largest idf. The heavy words of a template are those without
-which no line can reach the threshold (the rest have too small a norm, by the Cauchy-Schwarz inequality), so lines
-without a heavy word are passed over without loss. A file that
+idf over the templates, a word of no template having the largest idf. The heavy words of a template, its longest uncommon ones, are such
+that no line without one can reach the threshold (the rest have too small a norm, by the Cauchy-Schwarz inequality), so
+lines without a heavy word are passed over without loss. A file that
 is a licence file gives its licence to its directory; files without a header take that of their nearest ancestor directory.
 """
 
@@ -33,6 +33,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License"],
 }
+#: Words that are heavy last, for prose is full of them. Fixed values.
+COMMON = frozenset("a an and any as at be by can for free from in is it may not of on or that the this to under use with work you".split())
 #: Names of files that speak for their directory. Fixed values.
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.(txt|md|rst|html))?$"
 _CUT = r"[^a-z0-9.]+"
@@ -63,7 +65,7 @@ class Weights:
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append((name, k, v))
             left = 1.0
-            for w, x in sorted(v.items(), key=lambda p: (self.idf[p[0]] * -1, p[0])):
+            for w, x in sorted(v.items(), key=lambda p: (p[0] in COMMON, -len(p[0]), p[0])):
                 if left < threshold * threshold:
                     break
                 self.heavy.add(w)

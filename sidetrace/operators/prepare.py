@@ -61,7 +61,7 @@ def segments(lion: DataFrame) -> tuple[DataFrame, DataFrame]:
     boundary = {s: (T.source_code(F.col("SegmentTyp")) == "U") & boro["RIGHT" if s == "LEFT" else "LEFT"].isNotNull() & (T.source_code(F.col("LocStatus")).isin("3", "4", "9") | ~T.is_non_addressable(F.col("BoroBndry"))) for s in SIDES}
     street = T.clean_text(T.first_present(F.col("Street"), F.col("SAFStreetName")))
     live = live.select(
-        "*", street.alias("street"), (F.coalesce(F.trim("SpecAddr"), F.lit("")) != "").alias("special"),
+        "*", street.alias("named_street"), (F.coalesce(F.trim("SpecAddr"), F.lit("")) != "").alias("special"),
         *(ids[s].alias(f"id_{s}") for s in SIDES), *(boro[s].alias(f"boro_{s}") for s in SIDES), *((boro[s].isNull() & ~blank[s]).alias(f"bad_boro_{s}") for s in SIDES),
         *(boundary[s].alias(f"boundary_{s}") for s in SIDES), *(T.usable_range(*(F.col(c) for c in ADDRESSES[s])).alias(f"range_{s}") for s in SIDES),
     )
@@ -70,8 +70,8 @@ def segments(lion: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.size(F.collect_set(F.struct("id_LEFT", "id_RIGHT"))).alias("n_ids"),
         *(F.size(F.collect_set(f"boro_{s}")).alias(f"n_boro_{s}") for s in SIDES), *(F.max(f"boro_{s}").alias(f"borough_{s}") for s in SIDES),
         *(F.bool_or(f"bad_boro_{s}").alias(f"any_bad_{s}") for s in SIDES), *(F.bool_and(f"boundary_{s}").alias(f"all_boundary_{s}") for s in SIDES), *(F.bool_or(f"range_{s}").alias(f"any_range_{s}") for s in SIDES),
-        F.array_sort(F.collect_set("source_row")).alias("source_rows"), F.array_sort(F.array_remove(F.collect_set("street"), "")).alias("street_names"),
-        F.min(F.struct("special", "street", "source_row")).alias("first"),
+        F.array_sort(F.collect_set("source_row")).alias("source_rows"), F.array_sort(F.array_remove(F.collect_set("named_street"), "")).alias("street_names"),
+        F.min(F.struct("special", "named_street", "source_row")).alias("first"),
     )
     conflict = F.when(F.col("n_ids") > 1, "aliases disagree on block-face ids").when(reduce(lambda a, b: a | b, ((F.col(f"n_boro_{s}") > 1) | F.col(f"any_bad_{s}") for s in SIDES)), "aliases disagree on boroughs")
     told = told.withColumn("conflict", conflict)
@@ -79,7 +79,7 @@ def segments(lion: DataFrame) -> tuple[DataFrame, DataFrame]:
     verdict = live.select("source_row", *group).join(told.select(*group, "conflict", F.col("first.source_row").alias("canonical")), group)
     ended = verdict.where(F.col("conflict").isNotNull() | (F.col("source_row") != F.col("canonical"))).select("source_row", F.when(F.col("conflict").isNotNull(), "invalid").otherwise("deduplicated_alias").alias("outcome"), F.coalesce("conflict", F.lit("exact alias of another row")).alias("reason"))
     keep = told.where("conflict is null").select(F.col("first.source_row").alias("source_row"), "source_rows", "street_names", *(F.col(f"borough_{s}") for s in SIDES), *(F.col(f"all_boundary_{s}") for s in SIDES), *(F.col(f"any_range_{s}") for s in SIDES))
-    canonical = live.select("source_row", "segment_id", "street", "lines", F.col("PhysicalID").cast("string").alias("physical_id"), *(f"id_{s}" for s in SIDES)).join(keep, "source_row")
+    canonical = live.select("source_row", "segment_id", F.col("named_street").alias("street"), "lines", F.col("PhysicalID").cast("string").alias("physical_id"), *(f"id_{s}" for s in SIDES)).join(keep, "source_row")
     return early.union(ended), canonical
 
 

@@ -113,37 +113,23 @@ def fit_cumulative(rows: list[np.ndarray], grades: np.ndarray, width: int, round
     return x[:width], np.cumsum(np.r_[x[width], np.exp(x[width + 1 :])])
 
 
-def fit(words: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """A model from the distinct words and the labels of training rows; without both classes it rejects nothing."""
+def fit(chosen: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """A model over the chosen features, sorted, from the feature numbers and labels of training rows; without both classes it rejects nothing."""
     toxic = np.asarray(toxic, bool)
-    if not toxic.any() or toxic.all():
+    if not len(chosen) or not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.arange(1, GRADES + 1) * 20.0)
-    every = np.concatenate(words)
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    vocabulary, inverse = np.unique(every, return_inverse=True)
-    there = np.bincount(inverse, toxic[owner], len(vocabulary))
-    other = np.bincount(inverse, ~toxic[owner], len(vocabulary))
-    a, b = toxic.sum(), (~toxic).sum()
-    n = a + b
-    both = there + other
-    chi2 = n * (there * (b - other) - other * (a - there)) ** 2 / np.maximum(1.0, both * (n - both) * a * b)
-    use = np.flatnonzero((chi2 >= LEAST_CHI2) & (there >= LEAST_ROWS) & (there * b > 3 * other * a))
-    renamed = np.full(len(vocabulary), -1)
-    renamed[use] = np.arange(len(use))
-    column = renamed[inverse]
-    starts = np.cumsum([0, *(len(w) for w in words)])
-    rows = [(c := column[s:e])[c >= 0] for s, e in zip(starts[:-1], starts[1:], strict=True)]
     count = np.array([len(r) for r in rows])
     low, high = np.quantile(count[toxic], [1 / 3, 2 / 3])
     grades = np.where(toxic, 1 + (count > low) + (count > high), 0)
-    weights, thresholds = fit_cumulative(rows, grades.astype(np.int64), len(use))
-    return Model(vocabulary[use], weights, thresholds)
+    weights, thresholds = fit_cumulative(rows, grades.astype(np.int64), len(chosen))
+    return Model(chosen, weights, thresholds)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most max_rows toxic and 2 * max_rows other labelled rows, first by a hash of doc_id.
 
-    labels: doc_id, toxic (0 or 1; null rows are left out). Only the sample's ids are broadcast. Rows of one class
+    labels: doc_id, toxic (0 or 1; null rows are left out). Only the sample's ids are broadcast. Features are counted and
+    chosen on the executors; the driver sees the chosen ones and which of them each sampled row holds. Rows of one class
     with the same two least feature hashes, as most near-copies are, count once, lest a family stand for its words.
     """
     spark = prepare(docs.sparkSession)
@@ -154,19 +140,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [textvec.signed(w).tobytes() for w in feature_sets(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(found, pa.binary())], names=["doc_id", "toxic", "words"])
+            found = [textvec.signed(w) for w in feature_sets(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "toxic", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
-    rows = sorted(((r["doc_id"], r["toxic"], np.frombuffer(r["words"], np.uint64)) for r in texts.mapInArrow(make, "doc_id long, toxic boolean, words binary").toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
-    seen, words, toxic = set(), [], []
-    for _, bad, w in rows:
-        family = (bad, w[:2].tobytes())
-        if len(w) and family not in seen:
-            seen.add(family)
-            words.append(w)
-            toxic.append(bad)
-    return fit(words, np.array(toxic, bool)) if words else fit([], np.zeros(0, bool))
+    rows = texts.mapInArrow(make, "doc_id long, toxic boolean, features array<long>").where("size(features) > 0")
+    family = [F.col("toxic"), F.col("features")[0], F.try_element_at("features", F.lit(2))]
+    rows = rows.groupBy(*(c.alias(f"k{i}") for i, c in enumerate(family))).agg(F.min(F.struct("doc_id", "toxic", "features")).alias("r")).select("r.*").checkpoint()
+    classes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    a, b = classes.get(True, 0), classes.get(False, 0)
+    counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o"))
+    both = F.col("t") + F.col("o")
+    chi2 = F.try_divide(F.pow(F.col("t") * F.lit(float(b)) - F.col("o") * F.lit(float(a)), F.lit(2.0)) * float(a + b), both * (a + b - both) * F.lit(float(a) * float(b)))
+    apart = counts.where((F.col("t") >= LEAST_ROWS) & (chi2 >= LEAST_CHI2) & (F.col("t") * b > 3 * F.col("o") * a)).select("f").collect()
+    chosen = np.sort(np.array([r[0] for r in apart], np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(chosen)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.flatnonzero(np.isin(shared.value, np.array(f, np.int64).view(np.uint64))) for f in batch["features"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(held, pa.list_(pa.int64()))], names=["doc_id", "toxic", "held"])
+
+    told = rows.mapInArrow(narrow, "doc_id long, toxic boolean, held array<long>").collect()
+    told.sort(key=lambda r: (r["doc_id"], r["toxic"], r["held"]))
+    return fit(chosen, [np.array(r["held"], np.int64) for r in told], np.array([r["toxic"] for r in told], bool))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,7 +3,7 @@
 Lengths run from 1 to the capacity, so the whole corpus is described by one histogram of at most ``capacity``
 numbers, whatever its size. The driver packs that histogram: a bin is opened with the longest length left, filled
 greedily with the longest that fits, then its smallest piece is replaced by two unpacked pieces that fit the expanded
-gap more tightly, if there are such. Each bin shape is used as often as the histogram allows, so there are a few
+gap more tightly, if there are such. Small pieces fill the gaps last. Each bin shape is used as often as the histogram allows, so there are a few
 thousand shapes at most. Pieces then find their places by their rank among the pieces of their length: counts of
 (partition, length), a running sum of these, and a lookup of the rank in the plan, which is broadcast and bounded by
 the number of shapes. No group of pieces is ever gathered.
@@ -63,46 +63,75 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tok
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a bin in order, number of such bins) that pack the histogram {length: pieces} best-two-fit."""
+    """(lengths of a bin in order, number of such bins) that pack the histogram {length: pieces} best-two-fit.
+
+    Pieces under a sixth of the capacity fill the gaps after the others, as the method was published; also tried are a
+    tenth, no such rule, and no replacement at all (every piece being small), and the plan of fewest bins is taken.
+    """
+    tries = [_plan(histogram, capacity, least) for least in (-(-capacity // 6), -(-capacity // 10), 1, capacity + 1)]
+    return min(tries, key=lambda shapes: sum(n for _, n in shapes))
+
+
+def _plan(histogram: dict[int, int], capacity: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-two-fit for pieces of ``least`` and more, then greedy filling with the smaller ones, each bin shape used as often as it can."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    shapes: list[tuple[tuple[int, ...], int]] = []
 
-    def largest(limit: int) -> int:
-        at = np.flatnonzero(left[1 : limit + 1])
-        return int(at[-1]) + 1 if len(at) else 0
+    def largest(limit: int, low: int) -> int:
+        at = np.flatnonzero(left[low : limit + 1])
+        return int(at[-1]) + low if len(at) else 0
+
+    def take(shape: list[int], gap: int, low: int) -> int:
+        while gap >= low and (x := largest(gap, low)):
+            n = min(int(left[x]), gap // x)
+            shape += [x] * n
+            left[x] -= n
+            gap -= n * x
+        return gap
+
+    def repeat(shape: list[int], most: int | None = None) -> int:
+        """How many bins take this shape, the first included."""
+        sizes, times = np.unique(shape, return_counts=True) if shape else (np.zeros(0, np.int64),) * 2
+        more = int((left[sizes] // times).min()) if shape else 0
+        more = more if most is None else min(more, most - 1) if shape else most - 1
+        left[sizes] -= more * times
+        return more + 1
 
-    while a := largest(capacity):
-        shape, gap = [a], capacity - a
+    bins: list[tuple[list[int], int]] = []
+    while a := largest(capacity, least):
+        shape = [a]
         left[a] -= 1
-        while gap and (x := largest(gap)):
-            shape.append(x)
-            left[x] -= 1
-            gap -= x
+        gap = take(shape, capacity - a, least)
         if gap and len(shape) > 1:
             smallest = min(shape[1:])
-            room = gap + smallest
-            low = np.flatnonzero(left[: room // 2 + 1])
-            best = (smallest, 0, 0)
-            for x in low[low > 0]:
+            room, best = gap + smallest, (smallest, 0, 0)
+            for x in np.flatnonzero(left[least : room // 2 + 1]) + least:
                 left[x] -= 1
-                y = largest(room - int(x))
+                y = largest(room - int(x), least)
                 left[x] += 1
                 if y and x + y > best[0]:
                     best = (int(x) + y, y, int(x))
             if best[1]:
                 shape.remove(smallest)
                 left[smallest] += 1
-                shape += best[1:]
-                left[list(best[1:])] -= 1 if best[1] != best[2] else 0
-                if best[1] == best[2]:
-                    left[best[1]] -= 2
-        shape.sort(reverse=True)
-        sizes, times = np.unique(shape, return_counts=True)
-        more = int((left[sizes] // times).min())
-        left[sizes] -= more * times
-        shapes.append((tuple(shape), more + 1))
+                for x in best[1:]:
+                    shape.append(x)
+                    left[x] -= 1
+        bins.append((shape, repeat(shape)))
+    shapes: list[tuple[tuple[int, ...], int]] = []
+    for shape, n in bins:  # the smaller pieces, into the gaps
+        while n:
+            extra: list[int] = []
+            take(extra, capacity - sum(shape), 1)
+            k = repeat(extra, n)
+            shapes.append((tuple(sorted(shape + extra, reverse=True)), k))
+            n -= k
+    while a := largest(capacity, 1):
+        shape = [a]
+        left[a] -= 1
+        take(shape, capacity - a, 1)
+        shapes.append((tuple(sorted(shape, reverse=True)), repeat(shape)))
     return shapes
 
 

@@ -68,6 +68,17 @@ def check_packing(rows, capacity):
     return len(by)
 
 
+def first_fit_decreasing(lengths, capacity):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        i = next((i for i, g in enumerate(gaps) if g >= x), None)
+        if i is None:
+            gaps.append(capacity - x)
+        else:
+            gaps[i] -= x
+    return len(gaps)
+
+
 def test_packing(spark):
     texts = [*HARD, *(prose(i, 5 + 17 * i % 400) for i in range(300))]
     docs = documents(spark, texts).withColumn("offset", F.lit(1)).repartition(6)
@@ -81,7 +92,7 @@ def test_packing(spark):
         assert all(r.length == 1024 for r in own[1:]) and (len(own) == 1 or len(whole) > 4 * 1024)
         assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in own)
         total += len(whole) // 4
-    assert n <= -(-total // 1024) + 1
+    assert -(-total // 1024) <= n <= first_fit_decreasing([r.length for r in rows], 1024)
     assert packing.pack_documents(docs.limit(0)).count() == 0
     same = packing.pack_documents(documents(spark, [(1, "a b c"), (1, "a b c"), (None, None)])).collect()
     assert len(same) == 3 and check_packing(same, 1024) == 1
@@ -97,5 +108,7 @@ def test_plan_uses_each_piece_once_and_replaces_the_smallest():
             for x in shape:
                 used[x] = used.get(x, 0) + n
         assert used == histogram
+        pieces = [x for x, n in histogram.items() for _ in range(n)]
+        assert sum(n for _, n in packing.plan(histogram, 50)) <= first_fit_decreasing(pieces, 50)
     # greedy leaves 60+30 with a gap of 10; 20+19 fit the gap of 40 more tightly than 30
-    assert packing.plan({60: 1, 30: 1, 20: 1, 19: 1}, 100)[0] == ((60, 20, 19), 1)
+    assert packing._plan({60: 1, 30: 1, 20: 1, 19: 1}, 100, 17)[0] == ((60, 20, 19), 1)

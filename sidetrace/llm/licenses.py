@@ -83,7 +83,10 @@ def headers(files: DataFrame, threshold: float = 0.75, templates: dict[str, list
     idf = F.broadcast(spark.createDataFrame(sorted(w.idf.items()), "word string, idf double"))
     heavy = "(?:" + "|".join(re.escape(x) for x in sorted(w.heavy)) + ")"
     lines = files.where("path is not null").select("path", F.explode(F.split(text_or_empty(), "[\\n\\r]+")).alias("line")).where(F.lower("line").rlike(f"(?<![a-z0-9]){heavy}(?![a-z0-9])"))
-    terms = lines.select("path", F.xxhash64("line").alias("line"), word_column(F.col("line")).alias("words")).distinct()
+    # of a line's squared weight the template's words must hold threshold squared; no word weighs more than one of no template
+    terms = lines.select("path", F.xxhash64("line").alias("line"), word_column(F.col("line")).alias("words"))
+    known, strange = (F.size(f).cast("double") for f in (F.filter("words", lambda x: x.isin(*w.idf)), F.array_distinct(F.filter("words", lambda x: ~x.isin(*w.idf)))))
+    terms = terms.where(threshold**2 * strange <= (1 - threshold**2) * known * known).distinct()
     each = terms.select("path", "line", F.explode("words").alias("word")).groupBy("path", "line", "word").agg(F.count("*").alias("tf"))
     each = each.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
     norms = each.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

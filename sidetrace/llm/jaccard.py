@@ -33,7 +33,7 @@ TILE_ROWS = 1_000
 #: Columns of a product at once.
 COLUMNS = 4096
 #: Cuttings of the n-gram space before empty blocks count as content.
-CUTS = 3
+CUTS = 5
 
 
 def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,6 +59,7 @@ class Blocks:
             raise ValueError("percent must lie in 1..100")
         self.percent = percent
         self.tops = [0]
+        self.blocks: dict[int, tuple[int, int]] = {}
 
     def level(self, size: int) -> int:
         while self.tops[-1] < size:
@@ -67,12 +68,27 @@ class Blocks:
         return int(np.searchsorted(self.tops, size))
 
     def number(self, level: int) -> tuple[int, int]:
-        """Blocks of a level, and how many of them may be empty in a row whose other blocks still suffice."""
-        self.level(self.tops[min(level, len(self.tops) - 1)] + 1)
-        low, high = self.tops[level], self.tops[level + 1]
-        most = (low + high) * (100 - self.percent) // (100 + self.percent)
-        spare = 0 if most == 0 else 1 + math.ceil(2 * (most + 1) * math.exp(-0.85 * low / (most + 1)))
-        return most + 1 + spare, spare
+        """Blocks of a level, and how many of them may be empty in a row whose other blocks still suffice.
+
+        More blocks to spare cost keys, fewer send more rows to another cutting; the cheaper number by a Poisson count of
+        empty blocks is taken. Either way no link is lost.
+        """
+        if level not in self.blocks:
+            self.level(self.tops[min(level, len(self.tops) - 1)] + 1)
+            low, top = self.tops[level - 1] + 1, self.tops[level]
+            most = (top + self.tops[level + 1]) * (100 - self.percent) // (100 + self.percent)
+            size, best = low + 0.25 * (top - low), (math.inf, 0)
+            for spare in range(0 if most else 1, 8 + most // 2 if most else 1):
+                k = most + 1 + spare
+                mean = k * math.exp(-size / k)
+                term = math.exp(-mean)
+                more = 1 - term
+                for i in range(1, spare + 1):
+                    term *= mean / i
+                    more -= term
+                best = min(best, ((k - mean) / (1 - min(0.99, max(0.0, more))), spare))
+            self.blocks[level] = (most + 1 + best[1], best[1])
+        return self.blocks[level]
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """The block keys of a set, for its own class (with the next) and for the one below (with its own).

@@ -103,7 +103,7 @@ def directories(path: Column) -> Column:
 
 
 def scan(files: DataFrame, threshold: float = 0.75, templates: dict[str, list[str]] | None = None, file_names: str = FILE_NAMES) -> DataFrame:
-    """Adds to files (path, text, ...) license, cosine, origin (header, inherited or none) and license_path, and drops text.
+    """Adds to files (path, text, ...) license, cosine, origin (header, inherited or none) and license_path, and drops text; cosine is 0 without an own header.
 
     Clashing columns are replaced. Of several licence files of a directory the smallest path speaks. Null paths have no
     license.
@@ -120,7 +120,7 @@ def scan(files: DataFrame, threshold: float = 0.75, templates: dict[str, list[st
     out = out.join(small_or_shuffled(own), "path", "left").join(small_or_shuffled(nearest), "_dir", "left")
     origin = F.when(F.col("license").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
     giver = F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("_giver"))
-    return out.select(*files.drop("text").columns, F.coalesce("license", "_license").alias("license"), "cosine", origin.alias("origin"), giver.alias("license_path"))
+    return out.select(*files.drop("text").columns, F.coalesce("license", "_license").alias("license"), F.coalesce("cosine", F.lit(0)).alias("cosine"), origin.alias("origin"), giver.alias("license_path"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

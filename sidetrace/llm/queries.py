@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sidetrace.llm import chat, dac, decontam, html, jaccard, licenses, lm, media, packing, toxicity
 from sidetrace.llm.common import table
+from sidetrace.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 #: The conversation that op1 formats beside those of the table.
@@ -71,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}

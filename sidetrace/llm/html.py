@@ -58,7 +58,10 @@ TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre tab
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _ALWAYS_OTHER = frozenset("nav form button dialog menu fieldset label".split())
 N_SIGNS, N_TAGS = len(SIGNS), len(TAGS)
-N_FEATURES = 1 + N_TAGS + 1 + N_SIGNS + 6
+#: Tags whose presence above a node is a sign of its own, as are the signs of all elements above it.
+ABOVE = "article main section nav aside header footer form table".split()
+_ABOVE = {t: i for i, t in enumerate(ABOVE)}
+N_FEATURES = 1 + N_TAGS + 1 + N_SIGNS + 6 + N_SIGNS + len(ABOVE) + 2
 
 
 class Node:
@@ -207,6 +210,20 @@ def potentials(nodes: list[Node]) -> np.ndarray:
     out[:, rest + 3] = size == 0
     out[:, rest + 4] = np.minimum(1, size / tags / 200)
     out[:, rest + 5] = (size < 25) & (size > 0)
+    above = rest + 6
+    for x in nodes:
+        i = x.order
+        if x.parent:
+            p = x.parent.order
+            out[i, above : above + N_SIGNS + len(ABOVE)] = out[p, above : above + N_SIGNS + len(ABOVE)]
+            for s in x.parent.signs:
+                out[i, above + s] = 1
+            k = _ABOVE.get(x.parent.tag)
+            if k is not None:
+                out[i, above + N_SIGNS + k] = 1
+    inside = out[:, above + N_SIGNS] + out[:, 1 + _TAG["article"]]  # an article's header is not the site's
+    out[:, -2] = (inside == 0) * out[:, above + N_SIGNS + _ABOVE["header"]]
+    out[:, -1] = not any(x.tag in ("article", "main") for x in nodes)
     return out
 
 
@@ -373,48 +390,69 @@ def _labelled(r: random.Random) -> Node:
                 links(f, r.randint(2, 5))
 
     before()
-    holder = frame
+    holder, tiny = frame, r.random() < 0.25
     if r.random() < 0.4:
         holder = add(frame, *name("main", SIGNS["article"]), content=True)
-    art = add(holder, *(("article", "" if r.random() < 0.6 else "article post entry") if r.random() < 0.75 else ("div", r.choice(SIGNS["article"].split()))), content=True)
+        if r.random() < 0.2:
+            add(holder, "div", r.choice(SIGNS["notice"].split()), _prose(r, 2, 12))
+    layout = r.random()
+    if layout < 0.1:
+        art = holder  # no article element at all
+    else:
+        art = add(holder, *(("article", "" if r.random() < 0.6 else "article post entry") if layout < 0.78 else ("div", r.choice(SIGNS["article"].split()))), content=True)
+    outer = art
+    for _ in range(r.choice([0, 0, 0, 1, 2])):
+        art = add(art, "div", r.choice(["", "", *SIGNS["article"].split()]), "", True)
     if r.random() < 0.7:
-        head = add(art, "header", "", "", True) if r.random() < 0.2 else art
-        add(head, r.choice(["h1", "h1", "h2"]), "", _prose(r, 1, 14), True)
-    for _ in range(r.choice([1, 2, 4, 8, 15])):
+        head = add(art, "header", "", "", True) if r.random() < 0.2 and layout >= 0.1 else art
+        add(head, r.choice(["h1", "h1", "h2"]), "", _prose(r, 1, 3 if tiny else 14), True)
+    for _ in range(r.choice([1, 2]) if tiny else r.choice([1, 2, 4, 8, 15])):
         kind = r.random()
-        if kind < 0.72:
-            p = add(art, "p", "", _prose(r, 1, r.choice([4, 30, 120])), True)
+        if kind < 0.7:
+            p = add(art, "p", "", _prose(r, 1, 3 if tiny else r.choice([4, 30, 120])), True)
             if r.random() < 0.3:
-                add(p, r.choice(["b", "i", "em", "a", "span", "strong"]), "", _prose(r, 1, 12), True)
-        elif kind < 0.8:
+                add(p, r.choice(["b", "i", "em", "a", "span", "strong"]), "", _prose(r, 1, 3 if tiny else 12), True)
+        elif kind < 0.77:
             add(art, r.choice(["h2", "h3", "h4"]), "", _prose(r, 1, 8), True)
-        elif kind < 0.87:
+        elif kind < 0.84:
             ul = add(art, r.choice(["ul", "ol"]), "", "", True)
             for _ in range(r.randint(1, 5)):
                 add(ul, "li", "", _prose(r, 1, 15), True)
-        elif kind < 0.9:
-            add(art, r.choice(["blockquote", "pre"]), "", _prose(r, 3, 40), True)
-        elif kind < 0.93:
+        elif kind < 0.88:
+            if r.random() < 0.6:
+                add(art, r.choice(["blockquote", "pre"]), "", _prose(r, 3, 40), True)
+            else:
+                add(add(art, "figure", "", "", True), "figcaption", "", _prose(r, 1, 8), True)
+        elif kind < 0.91:
             t = add(art, "table", "", "", True)
             for _ in range(r.randint(1, 3)):
                 tr = add(t, "tr", "", "", True)
                 for _ in range(2):
                     add(tr, r.choice(["td", "th"]), "", _prose(r, 1, 5), True)
-        elif kind < 0.96:
-            add(art, "div", r.choice(SIGNS["advert"].split()), _prose(r, 2, 20))
-        else:
-            s = add(art, r.choice(["aside", "div"]), r.choice((SIGNS["side"] + " " + SIGNS["share"]).split()))
+        elif kind < 0.94:
+            add(art, "div", r.choice((SIGNS["advert"] + " " + SIGNS["notice"]).split()), _prose(r, 2, 20))
+        elif kind < 0.97:
+            s = add(art, *(("aside", "") if r.random() < 0.5 else ("div", r.choice((SIGNS["side"] + " " + SIGNS["share"]).split()))))
+            if r.random() < 0.5:
+                s.text.append(_prose(r, 1, 12))
             links(s, r.randint(1, 4), True)
-    if r.random() < 0.15:
-        c = add(art, r.choice(["section", "div"]), r.choice(SIGNS["comment"].split()))
+        else:
+            f = add(art, "form", r.choice(["", *SIGNS["form"].split()]))
+            add(f, "label", "", _prose(r, 1, 5))
+    if r.random() < 0.2:
+        c = add(outer, r.choice(["section", "div"]), r.choice(SIGNS["comment"].split()))
         for _ in range(r.randint(1, 4)):
-            add(c, "p", "", _prose(r, 4, 40))
+            one = add(c, r.choice(["div", "article", "p"]), r.choice(["comment", "", ""]))
+            if one.tag == "p":
+                one.text.append(_prose(r, 1, 40))
+            else:
+                add(one, "p", "", _prose(r, 1, 40))
     after()
     return root
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 600, seed: int = 7) -> Model:
+def trained(pages: int = 1500, seed: int = 7) -> Model:
     """Fits node weights by ridge logistic regression and edge potentials by smoothed counts, on generated labelled pages."""
     r = random.Random(seed)
     x, y, edges = [], [], np.ones((2, 2))

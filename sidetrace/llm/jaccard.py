@@ -3,9 +3,10 @@
 Rows of the matrix are distinct n-gram sets. Two sets x, y of Jaccard similarity t or more differ in at most
 (|x| + |y|) (1 - t) / (1 + t) n-grams. Sizes fall into classes such that linked sets lie in one class or in neighbouring
 ones; in each class the n-gram space is cut by hash into more blocks of columns than the largest such difference, so
-linked sets agree on all columns of some blocks. Rows that share the content of a block are candidates. (Empty blocks say
-nothing, so there are a few blocks to spare; a row with more empty ones is cut once more by another hash, and again, before
-empty blocks count as content.)
+linked sets agree on all columns of some blocks. Rows that share the content of a block are candidates. (Blocks that are
+empty, or hold nothing but n-grams of passages that very many documents share, say little, so there are a few blocks to
+spare; a row with more such blocks is cut once more by another hash, and again, before they count as content. Which
+n-grams are so common is told by a sample; it decides how much work there is, not what is found.)
 Candidates form groups; the incidence of a group is multiplied with its transpose, block of columns by block of columns,
 the overlap counts accumulate, and pairs below the bound that their sizes set are discarded. Large groups are cut into
 tiles, and each pair of tiles is one product, so no group meets in one task. Copies of a set are one row throughout.
@@ -32,7 +33,9 @@ TILE_GRAMS = 1_000_000
 TILE_ROWS = 1_000
 #: Columns of a product at once.
 COLUMNS = 4096
-#: Cuttings of the n-gram space before empty blocks count as content.
+#: Documents, about, of the sample that tells common n-grams, and in how many of them such an n-gram is.
+SAMPLE, COMMON = 16_000, 5
+#: Cuttings of the n-gram space before empty blocks and common ones count as content.
 CUTS = 5
 
 
@@ -54,7 +57,8 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
 class Blocks:
     """Size classes and block keys for the threshold percent / 100."""
 
-    def __init__(self, percent: int) -> None:
+    def __init__(self, percent: int, common: np.ndarray | None = None) -> None:
+        self.common = np.zeros(0, np.uint64) if common is None else common
         if not 0 < percent <= 100:
             raise ValueError("percent must lie in 1..100")
         self.percent = percent
@@ -93,25 +97,33 @@ class Blocks:
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """The block keys of a set, for its own class (with the next) and for the one below (with its own).
 
-        Two linked rows differ in at most blocks - 1 - spare columns, so more than ``spare`` blocks agree; if a row has no
-        more than ``spare`` empty blocks, it agrees with the other in a block that is not empty.
+        A block is weak if it is empty or all its columns are common; equal blocks are both weak or both not. Two linked rows
+        differ in at most blocks - 1 - spare columns, so more than ``spare`` blocks agree; if a row has no more than
+        ``spare`` weak blocks, it agrees with the other in one that isn't.
         """
         own = self.level(len(grams))
         out = []
+        common = np.zeros(len(grams), bool)
+        if len(self.common):
+            common = self.common[np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)] == grams
         for level in (own, own - 1) if own > 1 else (own,):
             k, spare = self.number(level)
             for cutting in range(CUTS):
-                h = grams if not cutting else np.sort(textvec.mix(grams + np.uint64(cutting)))
-                block = (h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-                at = np.searchsorted(block, np.arange(k + 1, dtype=np.uint64))
+                h, usual = grams, common
+                if cutting:
+                    h = textvec.mix(grams + np.uint64(cutting))
+                    order = np.argsort(h)
+                    h, usual = h[order], common[order]
+                block = ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+                at = np.searchsorted(block, np.arange(k + 1))
                 total = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(textvec.mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
-                empty = at[1:] == at[:-1]
                 content = total[at[1:]] - total[at[:-1]]
                 place = np.arange(k, dtype=np.uint64) + np.uint64((level * CUTS + cutting) << 32)
                 key = textvec.mix(content + textvec.mix(place))
-                enough = int(empty.sum()) <= spare
-                out.append(key if not enough and cutting == CUTS - 1 else key[~empty])
+                strong = np.bincount(block[~usual], minlength=k) > 0
+                enough = k - int(strong.sum()) <= spare
+                out.append(key if not enough and cutting == CUTS - 1 else key[strong])
                 if enough:
                     break
         return np.concatenate(out)
@@ -177,11 +189,28 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, n_shingles long, sig long, sig2 long").checkpoint()
 
 
-def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def common_grams(docs: DataFrame, rows: int, n: int) -> np.ndarray:
+    """Sorted hashes of the n-grams that at least COMMON documents of a hash sample of about SAMPLE of the rows hold.
+
+    They are at most the sample's n-grams over COMMON, which bounds what is broadcast.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, grams in sets(batch["text"], n):
+                yield pa.RecordBatch.from_arrays([pa.array(textvec.signed(grams))], names=["gram"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE << 30) // max(1, rows))).select("text")
+    found = sample.mapInArrow(make, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("gram").toArrow()
+    return np.sort(found["gram"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+
+
+def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
     """Edges (a, b) between names of different sets that agree on a block."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = Blocks(percent), set()
+        cut, seen = Blocks(percent, shared.value), set()
         for batch in batches:
             keys, names, size = [], [], 0
             for _, grams in sets(batch["text"], n):
@@ -249,7 +278,8 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     base = profiles(docs, n)
     solid = base.where("n_shingles > 0 and doc_id is not null")
     classes = solid.groupBy("sig", "sig2").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n")).checkpoint()
-    edges = candidates(docs.where("doc_id is not null"), n, percent)
+    known = docs.where("doc_id is not null")
+    edges = candidates(known, n, percent, common_grams(known, solid.count(), n))
     near = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("community"))
     members = classes.join(near, "sig").select(F.col("class_id").alias("doc_id"), "community", "n")
     tiles = members.groupBy("community").agg(F.greatest(F.ceil(F.sum("n") / TILE_GRAMS), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("tiles"))

@@ -57,6 +57,15 @@ def test_components_equal_brute_force(spark, n, percent):
     assert got == brute(texts, n, percent)
 
 
+def test_common_passages_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(J, "COMMON", 2)
+    passage = prose(5, 40)
+    texts = [passage + " " + edited(i, prose(i % 12, 90), i % 7) for i in range(70)] + [passage, passage + " end", edited(1, passage, 1)] + [edited(i, prose(99, 30), i % 3) for i in range(20)]
+    for percent in (60, 80, 85):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_join(documents(spark, texts), 4, percent).collect())
+        assert got == brute(texts, 4, percent)
+
+
 def test_tiles_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(J, "TILE_ROWS", 7)
     texts = [edited(i, prose(1, 120), i % 9) for i in range(60)] + [prose(2, 50)]
@@ -73,11 +82,12 @@ def test_odd_rows(spark):
 
 def test_blocks_are_a_pigeonhole():
     r = np.random.default_rng(2)
-    for percent in (50, 80, 85, 95, 100):
-        cut = J.Blocks(percent)
+    every = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    for percent, common in [(p, c) for p in (50, 80, 85, 95, 100) for c in (None, every)]:
+        cut = J.Blocks(percent, common)
         for _ in range(400):
             size = int(r.integers(1, 300))
-            x = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+            x = np.unique(np.concatenate([r.integers(0, 2**63, size).astype(np.uint64), r.choice(every, int(r.integers(0, size + 1)))]))
             drop = int(r.integers(0, len(x)))
             y = np.unique(np.concatenate([x[drop * (100 - percent) // 100 :], r.integers(0, 2**63, int(r.integers(0, 1 + size * (100 - percent) // 100))).astype(np.uint64)]))
             i = len(np.intersect1d(x, y))

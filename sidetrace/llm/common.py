@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Rows and bytes in one Arrow batch; texts may be very long, so bytes bind first.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 #: Rows up to which a side of (id, number) rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000

@@ -28,11 +28,11 @@ from sidetrace.llm import textvec
 from sidetrace.llm.common import components, prepare, runs, small_or_shuffled
 
 #: N-grams of a tile of candidate sets; its product is done in memory.
-TILE_GRAMS = 1_000_000
+TILE_GRAMS = 500_000
 #: Rows of a tile of candidate sets, for the same reason.
-TILE_ROWS = 1_000
+TILE_ROWS = 800
 #: Columns of a product at once.
-COLUMNS = 4096
+COLUMNS = 2048
 #: Documents, about, of the sample that tells common n-grams, and in how many of them such an n-gram is.
 SAMPLE, COMMON = 16_000, 5
 #: Cuttings of the n-gram space before empty blocks and common ones count as content.
@@ -219,7 +219,7 @@ def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None
                 sig = signature(grams)[0]
                 if sig in seen:  # a copy; its keys are out already
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(sig)
                 keys.append(textvec.signed(cut.keys(grams)))
                 names.append(np.full(len(keys[-1]), sig, np.int64))

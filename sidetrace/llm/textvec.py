@@ -22,7 +22,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text worked on at once; a longer text is one block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

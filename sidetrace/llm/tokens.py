@@ -24,7 +24,7 @@ _STRANGE = np.ones(256, bool)
 _STRANGE[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = False
 _STRANGE[39] = True
 #: Pieces remembered by one Python worker; it changes no id.
-MEMORY = 1_500_000
+MEMORY = 500_000
 
 
 @lru_cache(maxsize=4)

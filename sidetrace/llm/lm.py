@@ -1,188 +1,227 @@
 """Cross-entropy difference of matched target and background bigram models.
 
-Both models count all documents of their kind, whole texts, over one shared vocabulary: the ``vocabulary`` most frequent
-words of the whole corpus, every other word being one unknown word. A token's probability interpolates its bigram with its
-unigram, both smoothed alike. The score of a document is the mean over its tokens of the target's loss less the
-background's, in nats: the lower, the closer to the target.
-
-Counts are summed in each task before they are shuffled. What is broadcast is bounded by the vocabulary: its hashes, and one
-table of (vocabulary + 1) squared 32-bit loss differences.
+Both models count all documents of their kind, whole texts, over one shared vocabulary: every word of the whole corpus, and
+one unknown word that none of them is. A token's probability interpolates its bigram with its unigram, both smoothed alike.
+The score of a document is the mean over its tokens of the target's loss less the background's, in nats: the lower, the
+closer to the target.
+
+The counts are sharded by hash and no task or driver holds them all. A task sums the words and bigrams of a block of
+documents and asks the shard of each for its counts over the corpus; a shard answers each block in the block's own order,
+so answers carry no keys. A block's documents travel with its questions as word numbers, and texts are read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidetrace.llm import textvec
-from sidetrace.llm.common import prepare, small_or_shuffled
+from sidetrace.llm.common import prepare, runs, small_or_shuffled
 
-#: Words of the shared vocabulary; its square bounds the broadcast table (64 MB).
-VOCABULARY = 4_000
 #: Weight of the bigram against the unigram, and counts added to each word.
 BIGRAM, ADDED = 0.7, 0.5
-#: Distinct words or bigrams that a task sums before it hands them on.
-HELD = 400_000
+#: Tokens of a block, reached or passed by its last text.
+BLOCK_TOKENS = 1 << 21
+#: Bytes of text for each shard of the counts, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_ROWS = "block long, shard long, data binary"
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 in their narrowest types, byte by byte of each, compressed."""
+    head, body = [], []
+    for a in arrays:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or int(a.max()) < 1 << 8 * w)
+        head += [len(a), width]
+        body.append(np.ascontiguousarray(a.astype(f"<u{width}")).view(np.uint8).reshape(len(a), width).T.tobytes())
+    plain = np.array([len(arrays), *head], "<i8").tobytes() + b"".join(body)
+    return len(plain).to_bytes(8, "little") + _ZSTD.compress(plain, asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    plain = np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), np.uint8)
+    n = int(plain[:8].view("<i8")[0])
+    head, at, out = plain[8 : 8 + 16 * n].view("<i8").reshape(n, 2), 8 + 16 * n, []
+    for size, width in head.tolist():
+        part = plain[at : at + size * width].reshape(width, size).T
+        out.append(np.ascontiguousarray(part).view(f"<u{width}").reshape(size).astype(np.uint64 if width == 8 else np.int64))
+        at += size * width
+    return out
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by shard, and where each shard begins in it (one more at the end)."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _pairs(w: np.ndarray, size: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, second word) of each distinct bigram in texts of so many words, and for each bigram in order its number and the place of its second word."""
+    text = np.repeat(np.arange(len(size)), size)
+    place = np.flatnonzero(text[1:] == text[:-1]) + 1
+    code, number = np.unique(w[place - 1] * len(words) + w[place], return_inverse=True)
+    a, b = np.divmod(code, max(1, len(words)))
+    return textvec.mix(words[a] * _PAIR + words[b]), a, b, number, place
+
+
+def _questions(block: int, ids: pa.Array, flags: np.ndarray, size: np.ndarray, h: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A row for each shard with a block's words and bigrams and its counts of them (target, background), and one with its documents."""
+    words, w = np.unique(h, return_inverse=True)
+    rank = np.argsort(np.argsort(-np.bincount(w, minlength=len(words)), kind="stable"), kind="stable")  # frequent words get small numbers
+    words, w = words[np.argsort(rank)], rank[w]
+    flag = np.repeat(flags, size)
+    keys, a, _, number, place = _pairs(w, size, words)
+
+    def counts(n: int, of: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both, t = np.bincount(of, minlength=n), np.bincount(of[target], minlength=n)
+        return t, both - t
+
+    two = counts(len(keys), number, flag[place])
+    one = (*counts(len(words), w, flag), *counts(len(words), w[place - 1], flag[place]))
+    order1, at1 = _by_shard(words, shards)
+    order2, at2 = _by_shard(keys, shards)
+    data = []
+    for s in range(shards):
+        p, q = order1[at1[s] : at1[s + 1]], order2[at2[s] : at2[s + 1]]
+        data.append(_pack(words[p], *(c[p] for c in one), keys[q], *(c[q] for c in two)))
+    valid = np.asarray(ids.is_valid())
+    data.append(_pack(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), valid.astype(np.int64), size, words, w))
+    names = [*range(shards), -1 - block]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["block", "shard", "data"])
+
+
+def ask(docs: DataFrame, shards: int, known: np.ndarray | None) -> DataFrame:
+    """Rows (block, shard, data) for docs (doc_id, text, target); with ``known``, sorted hashes, all other words are one."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        ids, flags, sizes, hashes, held = [], [], [], [], 0
 
-class _Sums:
-    """Running counts (target, background) by 64-bit key; memory bounded by HELD and one block."""
+        def done() -> pa.RecordBatch:
+            return _questions(block, pa.concat_arrays(ids), np.concatenate(flags), np.concatenate(sizes), np.concatenate(hashes), shards)
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        for batch in batches:
+            flag = batch["target"].to_numpy(zero_copy_only=False).astype(bool)
+            for row, count, data, offsets in textvec.blocks(batch["text"]):
+                h, first = textvec.words(data, offsets)
+                if known is not None:
+                    h = np.where(np.isin(h, known), h, np.uint64(0))
+                ids.append(batch["doc_id"].slice(row, count))
+                flags.append(flag[row : row + count])
+                sizes.append(np.diff(first))
+                hashes.append(h)
+                held += len(h)
+                if held >= BLOCK_TOKENS:
+                    yield done()
+                    block += 1
+                    ids, flags, sizes, hashes, held = [], [], [], [], 0
+        if ids:
+            yield done()
+
+    return docs.select("doc_id", "text", "target").mapInArrow(make, _ROWS)
+
+
+def answer(questions: DataFrame) -> DataFrame:
+    """The rows of ask with each shard's counts over the corpus in place of the block's own; the blocks' documents as they are."""
 
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        if len(keys):
-            k, inverse = np.unique(keys, return_inverse=True)
-            t = np.bincount(inverse, target, len(k)).astype(np.int64)
-            n = np.bincount(inverse, minlength=len(k))
-            self.parts.append((k, t, n - t))
-            self.size += len(k)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, ["shard"]):
+            if part["shard"][0].as_py() < 0:
+                yield from part.combine_chunks().to_batches()
+                continue
+            asked = [_unpack(d) for d in part["data"].to_pylist()]
 
-    def take(self) -> pa.RecordBatch:
-        k = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
-        t, b = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in (1, 2))
-        k, inverse = np.unique(k, return_inverse=True)
-        t, b = np.bincount(inverse, t, len(k)).astype(np.int64), np.bincount(inverse, b, len(k)).astype(np.int64)
-        self.parts, self.size = [(k, t, b)], len(k)
-        return pa.RecordBatch.from_arrays([pa.array(textvec.signed(k)), pa.array(t), pa.array(b)], names=["key", "target", "background"])
+            def sums(first: int, n: int, asked=asked) -> tuple[list[np.ndarray], np.ndarray]:
+                keys, inverse = np.unique(np.concatenate([a[first] for a in asked]).astype(np.uint64), return_inverse=True)
+                total = [np.bincount(inverse, np.concatenate([a[first + 1 + k] for a in asked]), len(keys)).astype(np.int64) for k in range(n)]
+                return total, inverse
 
-    def clear(self) -> None:
-        self.parts, self.size = [], 0
+            (one, of1), (two, of2) = sums(0, 4), sums(5, 2)
+            whole = np.array([len(one[0]), one[0].sum(), one[1].sum()])
+            end1, end2 = np.cumsum([len(a[0]) for a in asked]), np.cumsum([len(a[5]) for a in asked])
+            for block, a, e1, e2 in zip(part["block"].to_pylist(), asked, end1, end2, strict=True):
+                p, q = of1[e1 - len(a[0]) : e1], of2[e2 - len(a[5]) : e2]
+                data = _pack(whole, *(c[p] for c in one), *(c[q] for c in two))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), part["shard"].chunk(0)[:1], pa.array([data], pa.binary())], names=["block", "shard", "data"])
 
+    return questions.repartition("shard").sortWithinPartitions("shard").mapInArrow(make, _ROWS)
 
-def _counts(docs: DataFrame, keys_of) -> DataFrame:
-    """Sums of target and background occurrences by key, over docs (text, target)."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
-        for batch in batches:
-            flag = np.array(batch["target"].to_pylist(), np.float64)
-            for row, count, data, offsets in textvec.blocks(batch["text"]):
-                h, first = textvec.words(data, offsets)
-                text = np.repeat(np.arange(count), np.diff(first))
-                keys, owner = keys_of(h, first, text)
-                sums.add(keys, flag[row + owner])
-            if sums.size > 2 * HELD:
-                out = sums.take()
-                if sums.size > HELD:
-                    sums.clear()
-                    yield out
-        if sums.size:
-            yield sums.take()
-
-    return docs.mapInArrow(make, "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-@dataclass
-class Model:
-    words: np.ndarray  # sorted hashes of the vocabulary
-    number: np.ndarray  # their ids, from 1; 0 is the unknown word
-    first: np.ndarray  # loss difference of a document's first word
-    table: np.ndarray  # loss difference of word (column) after word (row)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return vocabulary_ids(self.words, self.number, h)
-
-    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of the loss differences, tokens) of each text."""
-        total, tokens = np.zeros(len(column)), np.zeros(len(column), np.int64)
-        for row, count, data, offsets in textvec.blocks(column):
-            h, at = textvec.words(data, offsets)
-            size = np.diff(at)
-            tokens[row : row + count] = size
-            if not len(h):
-                continue
-            w = self.ids(h)
-            loss = np.empty(len(h))
-            loss[1:] = self.table[w[:-1], w[1:]]
-            begins = at[:-1][size > 0]
-            loss[begins] = self.first[w[begins]]
-            total[row : row + count][size > 0] = np.add.reduceat(loss, begins)
-        return total, tokens
-
-
-def vocabulary_ids(words: np.ndarray, number: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, number[at], 0)
-
-
-def differences(unigrams: tuple[np.ndarray, np.ndarray], bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Loss of the target less that of the background, for first words and for pairs; counts are (target, background) arrays."""
-    first = np.zeros(size, np.float32)
-    table = np.zeros((size, size), np.float32)
-    row, column = np.divmod(bigrams[0], size)
-    for sign, one, two in zip((-1, 1), unigrams, bigrams[1:], strict=True):
-        p = (one + ADDED) / (one.sum() + ADDED * size)
-        before = np.bincount(row, two, size)
-        own = np.where(before > 0, BIGRAM, 0.0)  # after a word without a successor the unigram speaks alone
-        first += sign * np.log(p).astype(np.float32)
-        share = np.zeros(len(row))
-        np.divide(BIGRAM * two, before[row], out=share, where=before[row] > 0)
-        for i in range(0, size, 256):
-            table[i : i + 256] += (sign * np.log((1 - own[i : i + 256, None]) * p[None, :])).astype(np.float32)
-        base = (1 - own[row]) * p[column]
-        table[row, column] += (sign * (np.log(base + share) - np.log(base))).astype(np.float32)
-    return first, table
-
-
-def train(docs: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    """Counts all of docs (text, target); rows without target count as background. An empty corpus gives even models."""
-    spark = prepare(docs.sparkSession)
-    docs = docs.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    unigrams = _counts(docs, lambda h, first, text: (h, text)).checkpoint()
-    top = unigrams.orderBy(F.desc(F.col("target") + F.col("background")), "key").limit(vocabulary).collect()
-    totals = unigrams.agg(F.sum("target"), F.sum("background")).first()
-    key = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(key)
-    words, number = key[order], order.astype(np.int64) + 1
-    one = [np.array([0, *(r[k] for r in top)], np.float64) for k in ("target", "background")]
-    for counts, total in zip(one, totals, strict=True):
-        counts[0] = (total or 0) - counts.sum()
-    size = len(top) + 1
-    shared = spark.sparkContext.broadcast((words, number))
-
-    def pairs(h: np.ndarray, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = vocabulary_ids(*shared.value, h)
-        same = text[1:] == text[:-1]
-        return (w[:-1] * size + w[1:])[same].astype(np.uint64), text[1:][same]
-
-    found = _counts(docs, pairs)
-    parts = [np.zeros((0, 3), np.int64)]
-    rows = found.select("key", "target", "background").toArrow()  # at most size squared rows
-    two = [rows[c].to_numpy() for c in ("key", "target", "background")] if rows.num_rows else list(np.concatenate(parts).T)
-    return Model(words, number, *differences((one[0], one[1]), (two[0], two[1], two[2]), size))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows (doc_id, n_tokens, cross_entropy_difference) for docs (doc_id, text).
-
-    Null and empty texts have no tokens and a difference of 0; repeated rows are answered each.
+def differences(one: list[np.ndarray], two: list[np.ndarray], a: np.ndarray, b: np.ndarray, totals: tuple[float, float], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of the target less that of the background, for first words and for bigrams of the words a and b.
+
+    one has target, background, and both again for words that another follows; two has target and background.
     """
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)
+    first, after = np.zeros(len(one[0])), np.zeros(len(a))
+    for sign, k in ((-1, 0), (1, 1)):
+        p = (one[k] + ADDED) / (totals[k] + ADDED * size)
+        before = one[2 + k][a]
+        share = np.divide(two[k], before, out=np.zeros(len(a)), where=before > 0)
+        first += sign * np.log(p)
+        after += sign * np.log(np.where(before > 0, BIGRAM * share + (1 - BIGRAM) * p[b], p[b]))  # after a word without a successor the unigram speaks alone
+    return first, after
+
+
+def score(answers: DataFrame, shards: int, size: int | None) -> DataFrame:
+    """Rows (doc_id, n_tokens, cross_entropy_difference) of the blocks' documents; size is the vocabulary's if not all words count."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, ["block"]):
+            data = dict(zip(part["shard"].to_pylist(), part["data"].to_pylist(), strict=True))
+            ids, valid, n, words, w = _unpack(data.pop(min(data)))
+            words, w = words.astype(np.uint64), w.astype(np.int64)
+            keys, a, b, number, place = _pairs(w, n, words)
+            got = [_unpack(data[s]) for s in range(shards)]
+            back1, back2 = _by_shard(words, shards)[0], _by_shard(keys, shards)[0]
+
+            def restored(k: int, back: np.ndarray, got=got) -> np.ndarray:
+                out = np.empty(len(back), np.int64)
+                out[back] = np.concatenate([g[k] for g in got])
+                return out
+
+            distinct, target, background = np.sum([g[0] for g in got], axis=0).tolist()
+            first, after = differences([restored(k, back1) for k in (1, 2, 3, 4)], [restored(k, back2) for k in (5, 6)], a, b, (target, background), distinct + 1 if size is None else size)
+            loss = first[w]
+            loss[place] = after[number]
+            text = np.repeat(np.arange(len(n)), n)
+            mean = np.bincount(text, loss, len(n)) / np.maximum(1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.uint64).view(np.int64), mask=valid == 0), pa.array(n), pa.array(mean.round(6))], names=["doc_id", "n_tokens", "cross_entropy_difference"])
+
+    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(make, "doc_id long, n_tokens long, cross_entropy_difference double")
+
+
+def most_frequent(docs: DataFrame, vocabulary: int) -> np.ndarray:
+    """Sorted hashes of the most frequent words; ties go to the smaller hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, tokens = shared.value.scores(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(tokens), pa.array((total / np.maximum(1, tokens)).round(6))], names=["doc_id", "n_tokens", "cross_entropy_difference"])
+            for _, _, data, offsets in textvec.blocks(batch["text"]):
+                k, n = np.unique(textvec.words(data, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(textvec.signed(k)), pa.array(n)], names=["key", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, n_tokens long, cross_entropy_difference double")
+    counts = docs.select("text").mapInArrow(make, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(vocabulary).collect()], np.int64).view(np.uint64))
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """Scores docs (doc_id, text) with models of the target documents, named by targets (doc_id), and of all others.
 
-    Targets that are no documents, repeated or null are ignored.
+    Targets that are no documents, repeated or null are ignored. Null and empty texts have no tokens and a difference of 0;
+    repeated rows are answered each. With ``vocabulary`` only so many of the most frequent words are told apart, the rest being
+    the unknown word.
     """
+    prepare(docs.sparkSession)
+    known = None if vocabulary is None else most_frequent(docs, vocabulary)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
     ids = targets.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(True))
-    flagged = docs.select(F.col("doc_id").cast("long"), "text").join(small_or_shuffled(ids), "doc_id", "left")
-    return score(docs, train(flagged, vocabulary))
+    flagged = docs.select(F.col("doc_id").cast("long"), "text").join(small_or_shuffled(ids), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    return score(answer(ask(flagged, shards, known)), shards, None if known is None else len(known) + 1)

@@ -75,6 +75,23 @@ def test_lm_equals_a_plain_count(spark):
     assert lm.cross_entropy_difference(docs, targets.limit(0)).count() == 63
 
 
+def test_lm_tells_all_words_apart(spark):
+    """More words than any fixed vocabulary, in rare words alone; over several blocks and shards."""
+    texts = [" ".join(f"w{(i * 37 + k * k) % 9000}" for k in range(40)) for i in range(600)]
+    rows = {r.doc_id: r for r in lm.cross_entropy_difference(documents(spark, texts), spark.range(0, 600, 3).toDF("doc_id")).collect()}
+    words = [t.split() for t in texts]
+    vocabulary = len({w for ws in words for w in ws})
+    assert vocabulary > 4001
+    loss = {}
+    for flag in (True, False):
+        part = [x for i, x in enumerate(words) if (i % 3 == 0) == flag]
+        one, two, after = Counter(w for x in part for w in x), Counter(p for x in part for p in zip(x, x[1:], strict=False)), Counter(a for x in part for a in x[:-1])
+        p1 = {w: (one[w] + lm.ADDED) / (sum(one.values()) + lm.ADDED * (vocabulary + 1)) for ws in words for w in ws}
+        loss[flag] = [-math.log(p1[x[0]]) - sum(math.log(lm.BIGRAM * two[a, w] / after[a] + (1 - lm.BIGRAM) * p1[w] if after[a] else p1[w]) for a, w in zip(x, x[1:], strict=False)) for x in words]
+    for i, x in enumerate(words):
+        assert rows[i].cross_entropy_difference == pytest.approx((loss[True][i] - loss[False][i]) / len(x), abs=2e-6)
+
+
 ITEMS = ["A train runs 120 km in 3 hours from Paris to Lyon. How many km does the train of Anna run in 5 hours?", "Quiet rivers carry silver leaves beyond the broken mill while nobody counts them at dusk.", "short one here"]
 
 

@@ -1,9 +1,12 @@
-"""License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory. DataFrame operations only.
+"""License scans: sparse TF-IDF cosine of headers and files to templates, then inheritance from the nearest directory. DataFrame operations only.
 
-Each line of a file is a candidate header. Templates are few and of bounded size; a word's weight is its count times its
+Each line, paragraph and whole text of a file is a candidate header, and so is each run of neighbouring pieces of lines (cut at
+the ends of sentences) of at most twice the words of the longest template: more than that are so many other words that a
+shorter run scores higher. A run speaks for a template only if it has two different words of it, lest a one-word sentence
+(German "Mit.") be a licence. Templates are few and of bounded size; a word's weight is its count times its
 idf over the templates, a word of no template having the largest idf. The heavy words of a template, its longest uncommon ones, are such
-that no line without one can reach the threshold (the rest have too small a norm, by the Cauchy-Schwarz inequality), so
-lines without a heavy word are passed over without loss. A file that
+that no words without one can reach the threshold (the rest have too small a norm, by the Cauchy-Schwarz inequality), so
+files and candidates without a heavy word are passed over without loss. A file that
 is a licence file gives its licence to its directory; files without a header take that of their nearest ancestor directory.
 """
 
@@ -38,6 +41,7 @@ COMMON = frozenset("a an and any as at be by can for free from in is it may not
 #: Names of files that speak for their directory. Fixed values.
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.(txt|md|rst|html))?$"
 _CUT = r"[^a-z0-9.]+"
+_LINES, _PARAGRAPHS, _PIECES = r"[\n\r]+", r"(?:\r\n?|\n)[ \t]*[\n\r]\s*", r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
 
 
 def words(line: str) -> list[str]:
@@ -72,25 +76,47 @@ class Weights:
                 left -= x * x
 
 
+def holds(name: str, found: set[str]) -> Column:
+    return F.lower(name).rlike("(?<![a-z0-9])(?:" + "|".join(re.escape(x) for x in sorted(found)) + ")(?![a-z0-9])") if found else F.lit(False)
+
+
+def spans(texts: DataFrame, w: Weights, threshold: float) -> DataFrame:
+    """Rows (path, words) of the runs of neighbouring pieces of texts (path, text) that hold a heavy word."""
+    most = 2 * max(sum(c.values()) for *_, c in w.rows)
+    heavy = F.array(*map(F.lit, sorted(w.heavy)))
+    # a word that reaches the threshold alone needs another one of a template of its own
+    alone = {x for *_, v in w.vectors for x, y in v.items() if y >= threshold}
+    able = holds("text", w.heavy - alone)
+    for x in sorted(alone & w.heavy):
+        able = able | (holds("text", {x}) & holds("text", {y for *_, v in w.vectors if x in v for y in v} - {x}))
+    pieces = texts.where(able).select("path", F.xxhash64("text").alias("text"), F.posexplode(F.split("text", _PIECES)).alias("at", "piece")).withColumn("words", word_column(F.col("piece"))).where("size(words) > 0")
+    file = Window.partitionBy("path", "text")
+    placed = pieces.distinct().select("path", "text", "words", (F.sum(F.size("words")).over(file.orderBy("at")) - F.size("words")).alias("start"))
+    ahead = placed.select("path", F.collect_list("words").over(file.orderBy("start").rangeBetween(0, most - 1)).alias("ahead")).where(F.arrays_overlap(F.flatten("ahead"), heavy))
+    runs = ahead.select("path", "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n")).select("path", F.flatten(F.slice("ahead", F.lit(1), F.col("n"))).alias("words"))
+    return runs.where((F.size("words") <= most) & F.arrays_overlap("words", heavy))
+
+
 def headers(files: DataFrame, threshold: float = 0.75, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rows (path, license, cosine): the best template of each file whose best line reaches the threshold; cosine in 1/10000, rounded.
+    """Rows (path, license, cosine): the best template of each file whose best candidate reaches the threshold; cosine in 1/10000, rounded.
 
-    Ties go to the smaller identifier. Null and empty texts have no lines; rows that repeat a path count as one file.
+    Ties go to the smaller identifier. Null and empty texts have no words; rows that repeat a path count as one file.
     """
     spark = prepare(files.sparkSession)
     w = Weights(templates or TEMPLATES, threshold)
     vectors = F.broadcast(spark.createDataFrame([(name, k, word, float(x)) for name, k, v in w.vectors for word, x in v.items()], "license string, template int, word string, weight double"))
     idf = F.broadcast(spark.createDataFrame(sorted(w.idf.items()), "word string, idf double"))
-    heavy = "(?:" + "|".join(re.escape(x) for x in sorted(w.heavy)) + ")"
-    lines = files.where("path is not null").select("path", F.explode(F.split(text_or_empty(), "[\\n\\r]+")).alias("line")).where(F.lower("line").rlike(f"(?<![a-z0-9]){heavy}(?![a-z0-9])"))
-    # of a line's squared weight the template's words must hold threshold squared; no word weighs more than one of no template
-    terms = lines.select("path", F.xxhash64("line").alias("line"), word_column(F.col("line")).alias("words"))
+    texts = files.where("path is not null").select("path", text_or_empty().alias("text")).where(holds("text", w.heavy)).checkpoint()
+    whole = texts.select("path", F.explode(F.concat(F.split("text", _LINES), F.split("text", _PARAGRAPHS), F.array("text"))).alias("line")).where(holds("line", w.heavy)).select("path", word_column(F.col("line")).alias("words"))
+    # of a candidate's squared weight the template's words must hold threshold squared; no word weighs more than one of no template
     known, strange = (F.size(f).cast("double") for f in (F.filter("words", lambda x: x.isin(*w.idf)), F.array_distinct(F.filter("words", lambda x: ~x.isin(*w.idf)))))
-    terms = terms.where(threshold**2 * strange <= (1 - threshold**2) * known * known).distinct()
-    each = terms.select("path", "line", F.explode("words").alias("word")).groupBy("path", "line", "word").agg(F.count("*").alias("tf"))
+    near = threshold**2 * strange <= (1 - threshold**2) * known * known
+    terms = whole.where(near).withColumn("run", F.lit(False)).union(spans(texts, w, threshold).where(near).withColumn("run", F.lit(True)))
+    terms = terms.groupBy("path", "words").agg(F.bool_and("run").alias("run")).withColumn("line", F.xxhash64("words"))
+    each = terms.select("path", "line", "run", F.explode("words").alias("word")).groupBy("path", "line", "run", "word").agg(F.count("*").alias("tf"))
     each = each.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
     norms = each.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = each.join(vectors, "word").groupBy("path", "line", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = each.join(vectors, "word").groupBy("path", "line", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), (F.count("*") - F.bool_and("run").cast("int")).alias("others")).where("others > 0")
     cosine = dots.join(norms, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm") * 10000).cast("long").alias("cosine"))
     best = cosine.where(F.col("cosine") >= round(threshold * 10000)).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))

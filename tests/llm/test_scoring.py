@@ -149,3 +149,16 @@ def test_cosine_equals_brute_force_and_no_line_is_passed_over(spark):
     for i, t in enumerate(lines):
         c = best(t)[0]
         assert abs(got.get(str(i), 0) - (c if c >= 7500 else 0)) <= 1, t
+
+
+def test_licences_of_several_lines_and_of_a_part_of_a_line(spark):
+    texts = {
+        "m/LICENSE": "Copyright (c) 2020 Ann Example\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+        "m/src/a.c": "int main;",
+        "b/a.c": "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */\n" + prose(1, 400),
+        "g/a.c": prose(2, 200) + "\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n" + prose(3, 200),
+        "s/a.txt": "This work is licensed under the GNU General Public License, version 3. See the docs folder for the many details that every reader and every author should know.",
+        "n/a.txt": "We modify the software and use the general forms.\nA copy of the binary conditions follows.\n" + prose(4, 300),
+    }
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
+    assert got == {"m/LICENSE": "MIT", "m/src/a.c": "MIT", "b/a.c": "BSD-3-Clause", "g/a.c": "GPL-3.0", "s/a.txt": "GPL-3.0", "n/a.txt": None}

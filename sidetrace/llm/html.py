@@ -31,6 +31,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul hr".split())
 #: Opening one of these ends an open paragraph; opening a key ends open elements of its set, up to a list or table.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}}
+#: Elements whose end tag may be left out, and all that may stand in a head.
+UNCLOSED = frozenset("head p li dt dd tr td th tbody thead tfoot option optgroup".split())
+IN_HEAD = frozenset("title meta link base style script noscript template basefont bgsound".split())
 WALLS = frozenset("ul ol dl table menu html body td th".split())
 INLINE_CLOSED = frozenset("b i em strong a span small u s font code mark sub sup q cite abbr time".split())
 
@@ -74,12 +77,28 @@ class Node:
         self.content = False
 
 
+def above(at: Node | None, name: str) -> bool:
+    while at and at.tag != name:
+        at = at.parent
+    return at is not None
+
+
+def ends_hidden(hidden: str, name: str, opened: list[str]) -> bool:
+    """Whether the start of an element ends a hidden one whose end tag is left out; opened are the blocks open inside it."""
+    if hidden == "head":
+        return name not in IN_HEAD and name not in ("head", "html") and not opened
+    if hidden == "p":
+        return name in BLOCKS and not opened
+    return hidden in ENDS.get(name, ()) and not WALLS.intersection(opened)
+
+
 def parse(page: str) -> Node:
     """The element tree of a page, whatever is wrong with it; hidden elements are left out."""
     root = at = Node("html", None)
     pos, n = 0, len(page)
     skip_to = None
     depth = 0
+    opened: list[str] = []  # blocks inside the hidden element
 
     def text(raw: str) -> None:
         if raw and depth == 0:
@@ -102,7 +121,13 @@ def parse(page: str) -> Node:
             if depth:
                 if name == skip_to:
                     depth -= 1
-                continue
+                    continue
+                if name in opened:
+                    del opened[len(opened) - 1 - opened[::-1].index(name) :]
+                    continue
+                if not (skip_to in UNCLOSED and name in BLOCKS and above(at, name)):
+                    continue
+                depth = 0  # the end of an element around it
             found = at
             while found and found.tag != name and not (found.tag in WALLS and name in ("li", "p", "td", "tr", "dd", "dt")):
                 found = found.parent
@@ -111,14 +136,6 @@ def parse(page: str) -> Node:
             continue
         attributes = m[3]
         closed = attributes.endswith("/") and name not in BLOCKS
-        if depth:
-            if name == skip_to and not closed:
-                depth += 1
-            continue
-        if name in VOID:
-            if name in ("br", "hr"):
-                at.text.append(" ")
-            continue
         if name in RAW and not closed:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(page, pos)
             if end is None:
@@ -127,9 +144,21 @@ def parse(page: str) -> Node:
                 close = page.find(">", end.start())
                 pos = n if close < 0 else close + 1
             continue
+        if depth and ends_hidden(skip_to, name, opened):
+            depth = 0
+        if depth:
+            if name == skip_to and not closed:
+                depth += 1
+            elif name in BLOCKS and name not in VOID:
+                opened.append(name)
+            continue
+        if name in VOID:
+            if name in ("br", "hr"):
+                at.text.append(" ")
+            continue
         if name in HIDDEN or (attributes and _SHOWN.search(attributes)):
             if not closed:
-                skip_to, depth = name, 1
+                skip_to, depth, opened = name, 1, []
             continue
         if name in ("html", "body"):
             if name == "body" and at.tag == "html" and at.parent is None:

@@ -106,3 +106,14 @@ def test_pages(spark):
     rows = H.extract_pages(df).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in rows) == [("1", len(TEXT)), ("1", len(TEXT)), ("2", 0), ("None", 0)]
     assert H.extract_pages(df.limit(0)).count() == 0
+
+
+def test_hidden_elements_whose_end_tags_are_left_out():
+    def text(page):
+        return " ".join(t.strip() for x in H.nodes_of(H.parse(page)) for t in x.text if isinstance(t, str) and t.strip())
+
+    assert text("<html><head><title>x</title><body><article>aa</article>") == "aa" and text("<head><meta a><title>x</title><p>aa</p>") == "aa"
+    assert text("<head><script>for(i=0;i<n; i++) // don't\n</script></head><body><p>it's ok</p>") == "it's ok"
+    assert text("<div><p hidden>aa<div>bb</div></div><div><p hidden>x</div>cc") == "cc bb"
+    assert text("<ul><li hidden>x<ul><li>y</li></ul><li>z</ul>after") == "after z"
+    assert text("<table><tr><td hidden>a<td>b</table>") == "b" and text("<div hidden><p>x</p><div>y</div></div>z") == "z"

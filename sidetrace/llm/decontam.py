@@ -4,7 +4,7 @@ Tokens are lower-cased words without punctuation at their edges. Numbers, units
 that neither begin a sentence nor are all capitals) become typed placeholders, so that a question with other parameters has the same templates.
 Windows of n template tokens of the items (an item of fewer tokens is one window) are hash-joined with those of the
 documents. Each window has an anchor, its rarest token; only documents whose words hold the anchors of as many windows
-of an item as it takes have their templates made at all, which loses none. Matches on one alignment of an item with a document count together, if they are slot-consistent: the values behind
+of an item as it takes have their templates made at all, which loses none; a window none of whose words has a letter or digit has a symbol for its anchor. Matches on one alignment of an item with a document count together, if they are slot-consistent: the values behind
 an item's placeholder are the same wherever that value occurs.
 """
 
@@ -25,7 +25,7 @@ UNITS = (
 ).split()
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&~_-–—“”‘’«»…¿¡"
 _ENDS = "[.!?:;…|]"
-_NO_WORD = r"[^\p{L}\p{N}]+"
+_NO_WORD, _WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]"
 
 
 def template(text: Column) -> Column:
@@ -62,7 +62,7 @@ def windows(items: DataFrame, n: int) -> DataFrame:
     w = w.where(F.exists("form", lambda x: ~x.isin(NUMBER, NAME, UNIT))).distinct()
     words = w.select("item_id", F.explode("form").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df"))
     each = w.select("item_id", "at", "raw", "form", F.posexplode("form").alias("offset", "word")).where(~F.col("word").isin(NUMBER, NAME, UNIT)).join(words, "word")
-    best = each.groupBy("item_id", "at", "raw", "form").agg(F.min(F.struct("df", (-F.length("word")).alias("l"), "word", "offset")).alias("b"))
+    best = each.groupBy("item_id", "at", "raw", "form").agg(F.min(F.struct((~F.col("word").rlike(_WORD)).alias("symbol"), "df", (-F.length("word")).alias("l"), "word", "offset")).alias("b"))
     count = Window.partitionBy("item_id")
     return best.select("item_id", "at", F.size("form").alias("size"), F.xxhash64(F.size("form"), F.array_join("form", " ")).alias("hash"), F.col("b.word").alias("anchor"), F.col("b.offset").alias("offset"), "raw", "form", F.count("*").over(count).alias("n_windows"))
 
@@ -71,11 +71,16 @@ def suspects(docs: DataFrame, w: DataFrame, coverage: float) -> DataFrame:
     """Rows (doc_id) of documents that may hold an item: the anchors of enough of its windows are among their words.
 
     A shared window shares its anchor, so a document that holds ``coverage`` of an item's windows holds anchors that stand
-    for as many. Words are cut at everything but letters and digits here, which splits no part of an anchor's key.
+    for as many. Words are cut at everything but letters and digits here, which splits no part of an anchor's key. A symbol's key is the whole anchor, met by words cut as templates are.
     """
-    keys = w.select("item_id", "n_windows", F.element_at(F.array_sort(F.filter(F.split("anchor", _NO_WORD), lambda x: x != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1).alias("word"))
+    parts = F.filter(F.split("anchor", _NO_WORD), lambda x: x != "")
+    longest = F.get(F.array_sort(parts, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
+    keys = w.select("item_id", "n_windows", F.coalesce(longest, F.col("anchor")).alias("word"))
     keys = keys.groupBy("item_id", "n_windows", "word").agg(F.count("*").alias("stands_for"))
     words = docs.select("doc_id", F.explode(F.split(F.lower(text_or_empty("text")), _NO_WORD)).alias("word"))
+    if not keys.where(~F.col("word").rlike(_WORD)).isEmpty():
+        bare = F.transform(F.split(F.lower(text_or_empty("text")), r"[\s|]+"), lambda x: F.btrim(x, F.lit(PUNCTUATION)))
+        words = words.union(docs.select("doc_id", F.explode(F.filter(bare, lambda x: (x != "") & ~x.rlike(_WORD))).alias("word")))
     hit = words.join(small_or_shuffled(keys, 200_000), "word").groupBy("doc_id", "item_id", "word").agg(F.max("stands_for").alias("n"), F.max("n_windows").alias("n_windows"))
     return hit.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc_id").distinct()
 

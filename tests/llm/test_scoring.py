@@ -162,3 +162,9 @@ def test_licences_of_several_lines_and_of_a_part_of_a_line(spark):
     }
     got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
     assert got == {"m/LICENSE": "MIT", "m/src/a.c": "MIT", "b/a.c": "BSD-3-Clause", "g/a.c": "GPL-3.0", "s/a.txt": "GPL-3.0", "n/a.txt": None}
+
+
+def test_items_of_symbols(spark):
+    items = spark.createDataFrame([(0, "12 + 7 = ?"), (1, "the sum 3 × 4 = 12 of both")], "item_id long, text string")
+    docs = documents(spark, [prose(1, 30) + " 31 + 8 = ? " + prose(2, 30), "the sum 5 × 6 = 30 of both", "12 - 7", "a + b = c", prose(3, 50)])
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contamination(docs, items).collect()) == [(0, 0), (1, 1)]

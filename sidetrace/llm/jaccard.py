@@ -249,13 +249,16 @@ def links(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame
             grams = [g for _, g in sets(part["text"], n)]
             size = np.array([len(g) for g in grams])
             side = part["side"].to_numpy()
-            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
+            two = part["i"][0].as_py() != part["j"][0].as_py()
+            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(ids)),) * 2
+            if not len(left) or not len(right):  # an empty tile
+                continue
             hit = linked(overlaps([grams[k] for k in left], [grams[k] for k in right]), size[left], size[right], percent)
             a, b = np.nonzero(hit)
             a, b = left[a], right[b]
             other = ids[a] != ids[b]
             a, b = a[other], b[other]
-            count = np.bincount(a, minlength=len(ids)) + (np.bincount(b, minlength=len(ids)) if side.any() else 0)
+            count = np.bincount(a, minlength=len(ids)) + (np.bincount(b, minlength=len(ids)) if two else 0)
             order = np.argsort(ids, kind="stable")
             rank = np.empty(len(ids), np.int64)
             rank[order] = np.arange(len(ids))

@@ -100,3 +100,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 100: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_with_an_empty_tile_count_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "TILE_GRAMS", 60)
+    texts = [t for i in range(12) for t in (prose(i, 60), prose(i, 60) + " end")]
+    rows = J.jaccard_join(documents(spark, texts)).collect()
+    assert [r.n_links for r in rows] == [1] * 24 and all(r.component_id == r.doc_id - r.doc_id % 2 for r in rows)

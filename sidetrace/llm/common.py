@@ -6,7 +6,9 @@ folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -52,6 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of fixed rows as one literal, which no Python worker has to make; schema is "name type, ..."."""
+    names = [f.strip().split(" ", 1)[0] for f in re.split(r",(?![^<]*>)", schema)]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in re.split(r',(?![^<]*>)', schema))}>>")))
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; stops counting beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -1,17 +1,20 @@
 """License scans: sparse TF-IDF cosine of headers and files to templates, then inheritance from the nearest directory. DataFrame operations only.
 
-Each line, paragraph and whole text of a file is a candidate header, and so is each run of neighbouring pieces of lines (cut at
-the ends of sentences) of at most twice the words of the longest template: more than that are so many other words that a
-shorter run scores higher. A run speaks for a template only if it has two different words of it, lest a one-word sentence
-(German "Mit.") be a licence. Templates are few and of bounded size; a word's weight is its count times its
-idf over the templates, a word of no template having the largest idf. The heavy words of a template, its longest uncommon ones, are such
-that no words without one can reach the threshold (the rest have too small a norm, by the Cauchy-Schwarz inequality), so
-files and candidates without a heavy word are passed over without loss. A file that
-is a licence file gives its licence to its directory; files without a header take that of their nearest ancestor directory.
+Candidates are each line, each paragraph and the whole text of a file, against all templates, and for each template the windows of
+as many words as it has, laid wherever one of its heavy words stands over the same word of the text, whatever the line breaks
+between; the best cosine speaks for the file. A candidate speaks for a template only with two different words of it, lest a
+one-word line (German "Mit.") be a licence. Templates are few and of bounded size; a word's weight is its count times its idf over
+the templates, a word of no template having the largest idf.
+
+Nothing that reaches the threshold is passed over: a candidate's cosine with a template is at most the norm of those of the
+template's weights whose words it has (Cauchy-Schwarz). The heavy words of a template, its longest uncommon ones, are such that
+all its other words together are below the threshold, so files, lines and places without a heavy word are left out, and candidates whose shared words weigh too little by the same bound, before any row is shuffled. A file that is a
+licence file gives its licence to its directory; files without a header take that of their nearest ancestor directory.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -19,82 +22,168 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sidetrace.llm.common import prepare, small_or_shuffled, text_or_empty
+from sidetrace.llm.common import fixed, prepare, small_or_shuffled, text_or_empty
 
-#: Header and licence-file templates by SPDX identifier. The usual wording of public licences.
+#: Header and licence-file templates by SPDX identifier, and the short names after "SPDX-License-Identifier:". The usual
+#: wording of public licences. The first sentence of the BSD family stands for three clauses; a text of two has a sentence of its own, and wins the tie.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
-    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the GNU Lesser General Public License, version 3"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License"],
-}
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "MIT": [
+        "Released under the MIT License",
+        "Licensed under the MIT License",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "SPDX-License-Identifier: MIT",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "LGPL-3.0": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Licensed under the GNU Lesser General Public License, version 3",
+        "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ],
+    "LGPL-2.1": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "AGPL-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "Licensed under the GNU Affero General Public License, version 3",
+        "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "CC-BY-4.0": [
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License", "SPDX-License-Identifier: ISC"],
+}
 #: Words that are heavy last, for prose is full of them. Fixed values.
-COMMON = frozenset("a an and any as at be by can for free from in is it may not of on or that the this to under use with work you".split())
+COMMON = frozenset("a an and any as at be by can each for free from in is it may not of on only or that the this to under use with work you".split())
 #: Names of files that speak for their directory. Fixed values.
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.(txt|md|rst|html))?$"
-_CUT = r"[^a-z0-9.]+"
-_LINES, _PARAGRAPHS, _PIECES = r"[\n\r]+", r"(?:\r\n?|\n)[ \t]*[\n\r]\s*", r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
+#: A word: a run of these, without the dots at its ends.
+_WORD = r"[a-z0-9](?:[a-z0-9.]*[a-z0-9])?"
+_LINE, _PARAGRAPHS = r"[^\n\r]+", r"(?:\r\n?|\n)[^A-Za-z0-9\n\r]*[\n\r]\s*"
+#: Words of a text that are looked through at once; a longer text is cut, with the neighbours that windows need.
+CHUNK = 2048
 
 
 def words(line: str) -> list[str]:
-    return [w for w in (x.strip(".") for x in re.split(_CUT, line.lower())) if w]
+    return re.findall(_WORD, line.lower())
 
 
 def word_column(line: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(line), _CUT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0))
 
 
 class Weights:
-    """Unit TF-IDF vectors of the templates."""
+    """Unit TF-IDF vectors of the templates, their heavy words, and where in a template these stand."""
 
     def __init__(self, templates: dict[str, list[str]], threshold: float) -> None:
-        self.rows = [(name, k, Counter(words(t))) for name, ts in templates.items() for k, t in enumerate(ts)]
-        df = Counter(w for *_, c in self.rows for w in c)
-        n = len(self.rows)
+        self.texts = [(name, k, words(t)) for name, ts in templates.items() for k, t in enumerate(ts)]
+        df = Counter(w for *_, t in self.texts for w in set(t))
+        n = len(self.texts)
         self.idf = {w: 1 + math.log((1 + n) / (1 + d)) for w, d in df.items()}
         self.unseen = 1 + math.log(1 + n)
         self.vectors: list[tuple[str, int, dict[str, float]]] = []
         self.heavy: set[str] = set()
-        for name, k, c in self.rows:
-            v = {w: tf * self.idf[w] for w, tf in c.items()}
+        self.anchors: list[tuple[str, str, int, int, int]] = []  # word, license, template, offset, words of the template
+        for name, k, t in self.texts:
+            v = {w: tf * self.idf[w] for w, tf in Counter(t).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append((name, k, v))
-            left = 1.0
+            left, own = 1.0, set()
             for w, x in sorted(v.items(), key=lambda p: (p[0] in COMMON, -len(p[0]), p[0])):
                 if left < threshold * threshold:
                     break
-                self.heavy.add(w)
+                own.add(w)
                 left -= x * x
-
-
-def holds(name: str, found: set[str]) -> Column:
-    return F.lower(name).rlike("(?<![a-z0-9])(?:" + "|".join(re.escape(x) for x in sorted(found)) + ")(?![a-z0-9])") if found else F.lit(False)
-
-
-def spans(texts: DataFrame, w: Weights, threshold: float) -> DataFrame:
-    """Rows (path, words) of the runs of neighbouring pieces of texts (path, text) that hold a heavy word."""
-    most = 2 * max(sum(c.values()) for *_, c in w.rows)
-    heavy = F.array(*map(F.lit, sorted(w.heavy)))
-    # a word that reaches the threshold alone needs another one of a template of its own
-    alone = {x for *_, v in w.vectors for x, y in v.items() if y >= threshold}
-    able = holds("text", w.heavy - alone)
-    for x in sorted(alone & w.heavy):
-        able = able | (holds("text", {x}) & holds("text", {y for *_, v in w.vectors if x in v for y in v} - {x}))
-    pieces = texts.where(able).select("path", F.xxhash64("text").alias("text"), F.posexplode(F.split("text", _PIECES)).alias("at", "piece")).withColumn("words", word_column(F.col("piece"))).where("size(words) > 0")
-    file = Window.partitionBy("path", "text")
-    placed = pieces.distinct().select("path", "text", "words", (F.sum(F.size("words")).over(file.orderBy("at")) - F.size("words")).alias("start"))
-    ahead = placed.select("path", F.collect_list("words").over(file.orderBy("start").rangeBetween(0, most - 1)).alias("ahead")).where(F.arrays_overlap(F.flatten("ahead"), heavy))
-    runs = ahead.select("path", "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n")).select("path", F.flatten(F.slice("ahead", F.lit(1), F.col("n"))).alias("words"))
-    return runs.where((F.size("words") <= most) & F.arrays_overlap("words", heavy))
+            self.heavy |= own
+            self.anchors += [(w, name, k, i, len(t)) for i, w in enumerate(t) if w in own]
+        self.longest = max(len(t) for *_, t in self.texts)
+
+
+def weighs(found: Column, template: Column, threshold: float) -> Column:
+    """Whether the words of a template (array of word, mass) that are found are two at least and weigh enough for the threshold."""
+    shared = F.filter(template, lambda e: F.array_contains(found, e["word"]))
+    return F.exists(F.array(shared), lambda m: (F.size(m) > 1) & (F.aggregate(m, F.lit(0.0), lambda s, e: s + e["mass"]) >= threshold * threshold - 1e-9))
+
+
+def candidates(files: DataFrame, w: Weights, threshold: float) -> DataFrame:
+    """Rows (path, words, license, template) of what may reach the threshold; a window is for one template, others are for all (null)."""
+    spark = files.sparkSession
+    masses = {(name, k): [(word, x * x) for word, x in v.items()] for name, k, v in w.vectors}
+    # fixed arrays as one literal each, which the optimizer folds
+    every = F.from_json(F.lit(json.dumps([{"m": [{"word": word, "mass": x} for word, x in rows]} for rows in masses.values()])), "array<struct<m:array<struct<word:string,mass:double>>>>")
+    vocabulary, heavy = (F.split(F.lit(" ".join(sorted(x))), " ") for x in (w.idf, w.heavy))
+    texts = files.where("path is not null").select("path", text_or_empty().alias("text")).where(F.arrays_overlap(word_column(text_or_empty()), heavy))
+    lines = texts.select("path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(_LINE), F.lit(0)), F.split("text", _PARAGRAPHS), F.array("text"))).alias("line"))
+    known = F.array(F.array_intersect(F.col("words"), vocabulary))
+    lines = lines.select("path", F.explode(F.array(word_column(F.col("line")))).alias("words"))
+    lines = lines.where(F.arrays_overlap("words", heavy)).where(F.exists(known, lambda found: F.exists(every, lambda t: weighs(found, t["m"], threshold))))
+    # windows: cut a text's words, take each heavy word with its neighbours, and lay the templates over it
+    side = w.longest - 1
+    chunks = F.transform(F.array(word_column(F.col("text"))), lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws), F.lit(CHUNK)), lambda s: F.struct(F.least(s, F.lit(side)).alias("skip"), F.slice(ws, F.greatest(s - side, F.lit(0)) + 1, F.least(s, F.lit(side)) + CHUNK + side).alias("words"))))[0]
+    chunk = texts.select("path", F.explode(chunks).alias("c")).select("path", "c.skip", "c.words").where(F.arrays_overlap("words", heavy))
+    spots = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.array_contains(heavy, F.get(F.col("words"), F.col("skip") + i)))
+    near = F.transform(spots, lambda i: F.struct(F.get(F.col("words"), F.col("skip") + i).alias("word"), F.least(F.col("skip") + i, F.lit(side)).alias("at"), F.slice("words", F.greatest(F.col("skip") + i - side, F.lit(0)) + 1, F.least(F.col("skip") + i, F.lit(side)) + side + 1).alias("around")))
+    near = chunk.select("path", F.explode(near).alias("s")).select("path", "s.word", "s.at", "s.around")
+    anchors = fixed(spark, [(*a, [{"word": word, "mass": x} for word, x in masses[a[1:3]]]) for a in w.anchors], "word string, license string, template int, offset int, n int, masses array<struct<word:string,mass:double>>")
+    laid = near.join(F.broadcast(anchors), "word").where((F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("n") <= F.size("around")))
+    laid = laid.select("path", F.slice("around", F.col("at") - F.col("offset") + 1, F.col("n")).alias("words"), "license", "template", "masses").where(weighs(F.col("words"), F.col("masses"), threshold))
+    return lines.select("path", "words", F.lit(None).cast("string").alias("license"), F.lit(None).cast("int").alias("template")).union(laid.drop("masses"))
 
 
 def headers(files: DataFrame, threshold: float = 0.75, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -104,19 +193,15 @@ def headers(files: DataFrame, threshold: float = 0.75, templates: dict[str, list
     """
     spark = prepare(files.sparkSession)
     w = Weights(templates or TEMPLATES, threshold)
-    vectors = F.broadcast(spark.createDataFrame([(name, k, word, float(x)) for name, k, v in w.vectors for word, x in v.items()], "license string, template int, word string, weight double"))
-    idf = F.broadcast(spark.createDataFrame(sorted(w.idf.items()), "word string, idf double"))
-    texts = files.where("path is not null").select("path", text_or_empty().alias("text")).where(holds("text", w.heavy)).checkpoint()
-    whole = texts.select("path", F.explode(F.concat(F.split("text", _LINES), F.split("text", _PARAGRAPHS), F.array("text"))).alias("line")).where(holds("line", w.heavy)).select("path", word_column(F.col("line")).alias("words"))
-    # of a candidate's squared weight the template's words must hold threshold squared; no word weighs more than one of no template
-    known, strange = (F.size(f).cast("double") for f in (F.filter("words", lambda x: x.isin(*w.idf)), F.array_distinct(F.filter("words", lambda x: ~x.isin(*w.idf)))))
-    near = threshold**2 * strange <= (1 - threshold**2) * known * known
-    terms = whole.where(near).withColumn("run", F.lit(False)).union(spans(texts, w, threshold).where(near).withColumn("run", F.lit(True)))
-    terms = terms.groupBy("path", "words").agg(F.bool_and("run").alias("run")).withColumn("line", F.xxhash64("words"))
-    each = terms.select("path", "line", "run", F.explode("words").alias("word")).groupBy("path", "line", "run", "word").agg(F.count("*").alias("tf"))
-    each = each.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
-    norms = each.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = each.join(vectors, "word").groupBy("path", "line", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), (F.count("*") - F.bool_and("run").cast("int")).alias("others")).where("others > 0")
+    vectors = F.broadcast(fixed(spark, [(name, k, word, x) for name, k, v in w.vectors for word, x in v.items()], "license string, template int, word string, weight double"))
+    idf = F.broadcast(fixed(spark, sorted(w.idf.items()), "word string, idf double"))
+    found = candidates(files, w, threshold).withColumn("line", F.xxhash64("words", "license", "template"))
+    found = found.groupBy("path", "line").agg(F.first("words").alias("words"), F.first("license").alias("only"), F.first("template").alias("only_k"))
+    terms = found.select("path", "line", "only", "only_k", F.explode("words").alias("word")).groupBy("path", "line", "only", "only_k", "word").agg(F.count("*").alias("tf"))
+    terms = terms.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
+    norms = terms.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = terms.join(vectors, "word").where(F.col("only").isNull() | ((F.col("only") == F.col("license")) & (F.col("only_k") == F.col("template"))))
+    dots = dots.groupBy("path", "line", "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count("*").alias("shared")).where("shared > 1")
     cosine = dots.join(norms, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm") * 10000).cast("long").alias("cosine"))
     best = cosine.where(F.col("cosine") >= round(threshold * 10000)).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
@@ -141,12 +226,13 @@ def scan(files: DataFrame, threshold: float = 0.75, templates: dict[str, list[st
     # inheritance over distinct directories: ancestors are joined by path, the deepest giver wins
     dirs = paths.select(F.element_at(directories(F.col("path")), -1).alias("own")).distinct()
     above = dirs.select("own", F.explode(F.when(F.col("own") == "", F.array(F.lit(""))).otherwise(F.array_append(directories(F.col("own")), F.col("own")))).alias("dir"))
-    nearest = above.join(small_or_shuffled(givers), "dir").groupBy("own").agg(F.max(F.struct(F.length("dir").alias("l"), "g")).alias("b")).select(F.col("own").alias("_dir"), F.col("b.g.license").alias("_license"), F.col("b.g.path").alias("_giver"))
-    out = files.drop("text").withColumn("_dir", F.element_at(directories(F.col("path")), -1))
-    out = out.join(small_or_shuffled(own), "path", "left").join(small_or_shuffled(nearest), "_dir", "left")
-    origin = F.when(F.col("license").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
-    giver = F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("_giver"))
-    return out.select(*files.drop("text").columns, F.coalesce("license", "_license").alias("license"), F.coalesce("cosine", F.lit(0)).alias("cosine"), origin.alias("origin"), giver.alias("license_path"))
+    nearest = above.join(small_or_shuffled(givers), "dir").groupBy("own").agg(F.max(F.struct(F.length("dir").alias("l"), "g")).alias("b")).select("own", F.col("b.g.license").alias("given"), F.col("b.g.path").alias("giver"))
+    kept = files.drop("text").columns
+    out = files.drop("text").select(F.struct(*kept).alias("row"), F.col("path").alias("path"), F.element_at(directories(F.col("path")), -1).alias("own"))
+    out = out.join(small_or_shuffled(own), "path", "left").join(small_or_shuffled(nearest), "own", "left")
+    origin = F.when(F.col("license").isNotNull(), "header").when(F.col("given").isNotNull(), "inherited").otherwise("none")
+    giver = F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("giver"))
+    return out.select("row.*", F.coalesce("license", "given").alias("license"), F.coalesce("cosine", F.lit(0)).alias("cosine"), origin.alias("origin"), giver.alias("license_path"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

@@ -69,14 +69,20 @@ def _op8() -> str:
     w = licenses.Weights(licenses.TEMPLATES, 0.75)
     vectors = ", ".join(f"({_quoted(name)}, {k}, {_quoted(word)}, {x!r}::DOUBLE)" for name, k, v in w.vectors for word, x in v.items())
     idf = ", ".join(f"({_quoted(word)}, {x!r}::DOUBLE)" for word, x in w.idf.items())
-    return f"""WITH v(license, template, word, weight) AS (VALUES {vectors}), idf(word, idf) AS (VALUES {idf}),
-n AS (SELECT doc_id, text, coalesce(nullif(source, ''), 'unknown') AS source, coalesce(nullif(lang, ''), 'unknown') AS lang FROM documents),
+    anchors = ", ".join(f"({_quoted(word)}, {_quoted(name)}, {k}, {at}, {n})" for word, name, k, at, n in w.anchors)
+    heavy = ", ".join(map(_quoted, sorted(w.heavy)))
+    cut = f"regexp_extract_all(lower({{}}), {_quoted(licenses._WORD)})"
+    return f"""WITH v(license, template, word, weight) AS (VALUES {vectors}), idf(word, idf) AS (VALUES {idf}), a(word, license, template, place, n) AS (VALUES {anchors}),
+n AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(nullif(source, ''), 'unknown') AS source, coalesce(nullif(lang, ''), 'unknown') AS lang FROM documents),
 f AS (SELECT doc_id, text, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source) THEN concat(source, '/LICENSE') WHEN doc_id = min(doc_id) OVER (PARTITION BY source, lang) THEN concat(source, '/', lang, '/LICENSE') ELSE concat(source, '/', lang, '/', doc_id, '.txt') END AS path, source, lang FROM n),
-l AS (SELECT path, row_number() OVER () AS line, words FROM (SELECT path, [y for y in [trim(x, '.') for x in regexp_split_to_array(lower(line), '[^a-z0-9.]+')] if y <> ''] AS words FROM (SELECT path, unnest(regexp_split_to_array(coalesce(text, ''), '[\n\r]+')) AS line FROM f))),
-t AS (SELECT path, line, word, count(*) AS tf FROM (SELECT path, line, unnest(words) AS word FROM l) GROUP BY ALL),
-x AS (SELECT t.path, t.line, t.word, tf * coalesce(idf, {w.unseen!r}::DOUBLE) AS x FROM t LEFT JOIN idf ON idf.word = t.word),
+b AS (SELECT path, {cut.format('part')} AS words FROM (SELECT path, unnest(list_concat(regexp_extract_all(text, {_quoted(licenses._LINE)}), regexp_split_to_array(text, {_quoted(licenses._PARAGRAPHS)}), [text])) AS part FROM f)),
+k AS (SELECT path, words, unnest(list_filter(range(1, len(words) + 1), lambda i: list_contains([{heavy}], words[i]))) AS i FROM (SELECT path, {cut.format('text')} AS words FROM f)),
+l AS (SELECT row_number() OVER () AS line, * FROM (SELECT DISTINCT path, words, NULL AS only_license, NULL AS only_template FROM b
+UNION ALL SELECT DISTINCT path, words[i - a.place:i - a.place + n - 1], license, template FROM k JOIN a ON a.word = k.words[k.i] WHERE i - a.place >= 1 AND i - a.place + n - 1 <= len(words))),
+t AS (SELECT path, line, only_license, only_template, word, count(*) AS tf FROM (SELECT path, line, only_license, only_template, unnest(words) AS word FROM l) GROUP BY ALL),
+x AS (SELECT t.path, t.line, only_license, only_template, t.word, tf * coalesce(idf, {w.unseen!r}::DOUBLE) AS x FROM t LEFT JOIN idf ON idf.word = t.word),
 norm AS (SELECT path, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
-dot AS (SELECT x.path, x.line, license, template, sum(x * weight) AS dot FROM x JOIN v ON v.word = x.word GROUP BY ALL),
+dot AS (SELECT x.path, x.line, license, template, sum(x * weight) AS dot FROM x JOIN v ON v.word = x.word AND coalesce(only_license = license AND only_template = template, true) GROUP BY ALL HAVING count(*) > 1),
 c AS (SELECT dot.path, license, CAST(round(dot / norm * 10000) AS BIGINT) AS cosine FROM dot JOIN norm ON norm.path = dot.path AND norm.line = dot.line),
 o AS (SELECT path, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) AS rn FROM c WHERE cosine >= 7500) WHERE rn = 1),
 p AS (SELECT path, license, regexp_replace(path, '/LICENSE$', '') AS dir FROM o WHERE path LIKE '%/LICENSE')

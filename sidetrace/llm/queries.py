@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sidetrace.llm import chat, dac, decontam, html, jaccard, licenses, lm, media, packing, toxicity
-from sidetrace.llm.common import table
+from sidetrace.llm.common import fixed, table
 from sidetrace.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -17,7 +17,7 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    extra = fixed(spark, [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_trees(chat.conversation_messages(rows.union(extra))))
 
 

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -133,22 +134,79 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == len(FILES) and licenses.scan(df.limit(0)).count() == 0
 
 
-def test_cosine_equals_brute_force_and_no_line_is_passed_over(spark):
-    w = licenses.Weights(licenses.TEMPLATES, 0.75)
-    lines = [t for ts in licenses.TEMPLATES.values() for t in ts]
-    lines += [" ".join(t.split()[k:]) + " " + prose(k, 3) for t in lines for k in (0, 1, 2)] + [prose(i, 12) for i in range(30)]
+def brute_force_header(w, text, threshold=7500):
+    """The best (cosine, licence) of all lines, paragraphs, the whole text, and windows over heavy words, one by one."""
+    parts = [*re.split("[\n\r]+", text), *re.split(licenses._PARAGRAPHS, text), text]
+    every, found = licenses.words(text), []
 
-    def best(line):
-        c = Counter(licenses.words(line))
+    def score(c, name, t):
         v = {x: n * w.idf.get(x, w.unseen) for x, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        return max(((round(sum(v.get(x, 0) * y for x, y in t.items()) / norm * 10000), name) for name, _, t in w.vectors), default=(0, None)) if norm else (0, None)
-
+        if sum(x in t for x in v) > 1:
+            found.append((-round(sum(v.get(x, 0) * y for x, y in t.items()) / norm * 10000), name))
+
+    for name, k, t in w.vectors:
+        for p in parts:
+            score(Counter(licenses.words(p)), name, t)
+        for word, name2, k2, at, n in w.anchors:
+            if (name2, k2) == (name, k):
+                for i, x in enumerate(every):
+                    if x == word and i >= at and i - at + n <= len(every):
+                        score(Counter(every[i - at : i - at + n]), name, t)
+    best = min(found, default=(0, None))
+    return (best[1], -best[0]) if -best[0] >= threshold else None
+
+
+def test_cosine_equals_brute_force_and_nothing_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "CHUNK", 50)
+    w = licenses.Weights(licenses.TEMPLATES, 0.75)
+    lines = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    lines += [" ".join(t.split()[k:]) + " " + prose(k, 3) for t in lines for k in (0, 1, 2)] + [prose(i, 12) for i in range(30)]
+    lines += [prose(i, 20 * i) + "\n# " + t.replace(" ", "\n# ", i) + " " + prose(i, 7) for i, t in enumerate(lines[:40])]
+    lines += ["Mit.\nMit", "MIT", "the \u212Aelvin license", "", "...", "version 3 of the license " * 60]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(lines)], "path string, text string")
-    got = {r.path: r.cosine for r in licenses.headers(df).collect()}
+    got = {r.path: (r.license, r.cosine) for r in licenses.headers(df).collect()}
     for i, t in enumerate(lines):
-        c = best(t)[0]
-        assert abs(got.get(str(i), 0) - (c if c >= 7500 else 0)) <= 1, t
+        wanted = brute_force_header(w, t)
+        assert got.get(str(i), (None, 0))[0] == (wanted or (None,))[0] and abs(got.get(str(i), (None, 0))[1] - (wanted or (0, 0))[1]) <= 1, t
+
+
+HEADS = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n",
+    "MIT": "Copyright (c) 2020 A B\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.\n",
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n",
+    "BSD-2-Clause": "Copyright (c) 2020, A B\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software",
+}
+NOTICES = {
+    "Apache-2.0": '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n',
+    "GPL-2.0": "/* This file is part of X.\n *\n * X is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version. */\n",
+    "GPL-3.0": "# X is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n",
+    "LGPL-3.0": "# X is free software: you can redistribute it and/or modify it under the\n# terms of the GNU Lesser General Public License as published by the\n# Free Software Foundation, either version 3 of the License, or\n",
+    "AGPL-3.0": "# This program is free software: you can redistribute it and/or modify it\n# under the terms of the GNU Affero General Public License as published\n# by the Free Software Foundation, either version 3 of the License\n",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n",
+}
+
+
+def test_usual_heads_notices_and_identifiers(spark):
+    texts = {f"h/{k}": (t, k) for k, t in HEADS.items()} | {f"n/{k}": (t + prose(3, 300), k) for k, t in NOTICES.items()}
+    texts |= {f"s/{k}": (f"#!/bin/sh\n# SPDX-License-Identifier: {k}\n" + prose(4, 50), v) for k, v in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("LGPL-2.1-or-later", "LGPL-2.1"), ("AGPL-3.0-only", "AGPL-3.0"), ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("ISC", "ISC"), ("MPL-2.0", "MPL-2.0"), ("Zlib", None))}
+    df = spark.createDataFrame([(p, t) for p, (t, _) in texts.items()], "path string, text string")
+    got = {r.path: r.license for r in licenses.headers(df).collect()}
+    assert {p: got.get(p) for p in texts} == {p: k for p, (_, k) in texts.items()}
+
+
+def test_scan_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([("a/LICENSE", "Released under the MIT License", 1, "x"), ("a/b.c", None, 2, "y")], "path string, text string, own int, given string").withColumns({"dir": F.lit(3), "row": F.lit(4), "_dir": F.lit(5)})
+    got = licenses.scan(df).collect()
+    assert {(r.path, r.license, r.own, r.given, r.dir, r.row, r["_dir"]) for r in got} == {("a/LICENSE", "MIT", 1, "x", 3, 4, 5), ("a/b.c", "MIT", 2, "y", 3, 4, 5)}
 
 
 def test_licences_of_several_lines_and_of_a_part_of_a_line(spark):

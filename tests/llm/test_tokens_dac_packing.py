@@ -52,7 +52,26 @@ def test_dac_reads_back_what_was_written(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/d").count() > 5
     assert dac.round_trip(docs.limit(0)).count() == 0
     odd = dac.round_trip(documents(spark, [(None, "x"), (3, "b"), (3, "a"), (1, "c")]))
-    assert [r.doc_id for r in odd.orderBy("start").collect()] == [1, 3, 3]
+    assert [r.doc_id for r in odd.orderBy("start").collect()] == [None, 1, 3, 3]
+
+
+def test_a_document_of_many_rows_and_of_many_segments(spark, tmp_path):
+    docs = documents(spark, [(None, "a"), (None, None), *((7, "same text here") for _ in range(40)), (7, prose(1, 3000)), (8, prose(2, 4000)), (9, "")]).repartition(4)
+    dac.write(docs, f"{tmp_path}/d", segment_ids=300)
+    rows = dac.read(spark, f"{tmp_path}/d", with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 2 + [7] * 41 + [8, 9]
+    whole = [np.frombuffer(bytes(r.ids), "<u4") for r in rows]
+    assert sorted(x.tolist() for x in whole) == sorted([*ids, 0] for ids in library([r.text for r in docs.select("text").collect()]))
+    assert [r.start for r in rows] == [0, *np.cumsum([len(x) for x in whole])[:-1].tolist()]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(bytes(r.ids)) for r in rows] == [r.ids_crc32 for r in dac.read(spark, f"{tmp_path}/d").orderBy("start").collect()]
+    segments = spark.read.parquet(f"{tmp_path}/d")
+    assert segments.agg(F.max("n_ids")).first()[0] <= 300 + 4 and segments.where("pieces > 1").count() > 20
+
+
+def test_checksums_of_pieces():
+    for n in (0, 1, 7, 4096):
+        a, b = bytes(range(200)), bytes(k * 7 % 256 for k in range(n))
+        assert dac.crc32_combine(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
 def check_packing(rows, capacity):

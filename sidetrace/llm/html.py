@@ -14,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import exp
 
@@ -38,8 +38,10 @@ WALLS = frozenset("ul ol dl table menu html body td th".split())
 INLINE_CLOSED = frozenset("b i em strong a span small u s font code mark sub sup q cite abbr time".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_SHOWN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Attributes whose words are signs.
+NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -64,7 +66,7 @@ N_SIGNS, N_TAGS = len(SIGNS), len(TAGS)
 #: Tags whose presence above a node is a sign of its own, as are the signs of all elements above it.
 ABOVE = "article main section nav aside header footer form table".split()
 _ABOVE = {t: i for i, t in enumerate(ABOVE)}
-N_FEATURES = 1 + N_TAGS + 1 + N_SIGNS + 6 + N_SIGNS + len(ABOVE) + 2
+N_FEATURES = 1 + N_TAGS + 1 + N_SIGNS + 6 + N_SIGNS + len(ABOVE) + 5
 
 
 class Node:
@@ -77,6 +79,18 @@ class Node:
         self.content = False
 
 
+@lru_cache(maxsize=8192)
+def told(attributes: str) -> tuple[bool, frozenset[int]]:
+    """Whether an element with these attributes is hidden, and its signs. Only whole attributes count, never words in their values."""
+    hidden, words = False, []
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        hidden = hidden or name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and bool(_UNSEEN.search(value)))
+        if name in NAMED:
+            words += _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+    return hidden, frozenset(_SIGN[w] for w in words if w in _SIGN)
+
+
 def above(at: Node | None, name: str) -> bool:
     while at and at.tag != name:
         at = at.parent
@@ -156,7 +170,8 @@ def parse(page: str) -> Node:
             if name in ("br", "hr"):
                 at.text.append(" ")
             continue
-        if name in HIDDEN or (attributes and _SHOWN.search(attributes)):
+        hidden, signs = told(attributes) if attributes.strip(" /") else (False, frozenset())
+        if name in HIDDEN or hidden:
             if not closed:
                 skip_to, depth, opened = name, 1, []
             continue
@@ -182,12 +197,6 @@ def parse(page: str) -> Node:
                     found = found.parent
                 if found.tag in ended and found.parent:
                     at = found.parent
-        signs = frozenset()
-        if attributes and "=" in attributes:
-            words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-            if words:
-                words = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", words).lower()
-                signs = frozenset(_SIGN[w] for w in _WORDS.findall(words) if w in _SIGN)
         child = Node(name, at, signs)
         at.children.append(child)
         at.text.append(child)
@@ -211,12 +220,14 @@ def potentials(nodes: list[Node]) -> np.ndarray:
     """The features of each node."""
     n = len(nodes)
     size, linked, words, tags = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    own = np.zeros(n)
     for x in reversed(nodes):
         i = x.order
         for t in x.text:
             if t.__class__ is str:
-                size[i] += len(t.strip())
+                own[i] += len(t.strip())
                 words[i] += t.count(" ")
+        size[i] += own[i]
         if x.tag == "a":
             linked[i] = size[i]
         tags[i] += 1
@@ -251,6 +262,9 @@ def potentials(nodes: list[Node]) -> np.ndarray:
             if k is not None:
                 out[i, above + N_SIGNS + k] = 1
     inside = out[:, above + N_SIGNS] + out[:, 1 + _TAG["article"]]  # an article's header is not the site's
+    out[:, -5] = own / np.maximum(1, size[0])
+    out[:, -4] = np.log1p(own) / 10
+    out[:, -3] = out[:, -4] * (out[:, 1 + _TAG["body"]] + out[:, 1 + _TAG["html"]])  # loose text
     out[:, -2] = (inside == 0) * out[:, above + N_SIGNS + _ABOVE["header"]]
     out[:, -1] = not any(x.tag in ("article", "main") for x in nodes)
     return out
@@ -371,6 +385,9 @@ def _labelled(r: random.Random) -> Node:
             add(add(ul, "li") if ul.tag != "div" else ul, "a", "", _prose(r, 3, 9) if long else _prose(r, 1, 3))
 
     body = add(root, "body")
+    if r.random() < 0.35:
+        _bare(r, body, add, links)
+        return root
     frame = add(body, "div", r.choice(["", "page", "wrapper"])) if r.random() < 0.4 else body
     plain = r.random() < 0.25
 
@@ -438,7 +455,7 @@ def _labelled(r: random.Random) -> Node:
     for _ in range(r.choice([1, 2]) if tiny else r.choice([1, 2, 4, 8, 15])):
         kind = r.random()
         if kind < 0.7:
-            p = add(art, "p", "", _prose(r, 1, 3 if tiny else r.choice([4, 30, 120])), True)
+            p = add(art, "p", "", _prose(r, 1, 3 if tiny else r.choice([4, 30, 120, 500])), True)
             if r.random() < 0.3:
                 add(p, r.choice(["b", "i", "em", "a", "span", "strong"]), "", _prose(r, 1, 3 if tiny else 12), True)
         elif kind < 0.77:
@@ -468,6 +485,8 @@ def _labelled(r: random.Random) -> Node:
         else:
             f = add(art, "form", r.choice(["", *SIGNS["form"].split()]))
             add(f, "label", "", _prose(r, 1, 5))
+    if r.random() < 0.3:
+        add(art, "div", r.choice((SIGNS["advert"] + " " + SIGNS["notice"] + " " + SIGNS["share"]).split()), _prose(r, 2, 25))
     if r.random() < 0.2:
         c = add(outer, r.choice(["section", "div"]), r.choice(SIGNS["comment"].split()))
         for _ in range(r.randint(1, 4)):
@@ -480,6 +499,75 @@ def _labelled(r: random.Random) -> Node:
     return root
 
 
+def _bare(r: random.Random, body: Node, add: Callable[..., Node], links: Callable[..., None]) -> None:
+    """Fills a body whose article has no signs: paragraphs or loose text in the body, in plain divs or in a table cell."""
+
+    def menu(at: Node) -> None:
+        if r.random() < 0.5:
+            links(add(at, r.choice(["nav", "div", "div", "ul"])), r.randint(2, 8))
+        else:
+            for _ in range(r.randint(1, 6)):
+                add(at, "a", "", _prose(r, 1, 3))
+
+    def article(at: Node) -> None:
+        if r.random() < 0.8:
+            add(at, r.choice(["h1", "h1", "h2"]), "", _prose(r, 1, 10), True)
+        kind, n = r.random() + 0.3 * (at.tag == "body"), r.choice([1, 1, 2, 3, 6])
+        for _ in range(n):
+            text = _prose(r, r.choice([2, 10, 30]), r.choice([40, 150, 500]))
+            if r.random() < 0.15:
+                add(at, r.choice(["div", "div", "p", "aside"]), r.choice((SIGNS["advert"] + " " + SIGNS["notice"] + " " + SIGNS["share"]).split()), _prose(r, 2, 25))
+            if kind < 0.55:
+                add(at, "p", "", text, True)
+            elif kind < 0.75:
+                add(at, "div", "", text, True)
+            else:  # loose text, cut by breaks
+                at.content = True
+                at.text.append(text + " ")
+                if r.random() < 0.3:
+                    add(at, r.choice(["b", "i", "a", "span"]), "", _prose(r, 1, 4), True)
+        if r.random() < 0.2:
+            ul = add(at, "ul", "", "", True)
+            for _ in range(r.randint(1, 4)):
+                add(ul, "li", "", _prose(r, 2, 15), True)
+
+    def foot(at: Node) -> None:
+        f = add(at, r.choice(["footer", "footer", "div"]), r.choice(SIGNS["foot"].split()), "")
+        if r.random() < 0.5:
+            add(f, "p", "", _prose(r, 2, 20))
+        else:
+            f.text.append(_prose(r, 2, 20))
+
+    layout = r.random()
+    if layout < 0.3:  # a table
+        t = add(body, "table")
+        if r.random() < 0.4:
+            add(add(add(t, "tr"), "td"), r.choice(["a", "h1", "b"]), "", _prose(r, 1, 3))
+        tr = add(t, "tr")
+        cells = r.random() < 0.7
+        if cells:
+            menu(add(tr, "td"))
+        article(add(tr, "td", "", "", True))
+        if not cells:
+            menu(add(tr, "td"))
+        if r.random() < 0.5:
+            cell = add(add(t, "tr"), "td", r.choice(SIGNS["foot"].split()))
+            cell.text.append(_prose(r, 2, 12))
+        return
+    if r.random() < 0.5:
+        menu(body if r.random() < 0.3 else add(body, r.choice(["div", "header", "nav"]), r.choice(["", *SIGNS["menu"].split()])))
+    at = body
+    for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
+        at = add(at, "div", r.choice(["", "", "page", "wrapper"]), "", True)
+    if r.random() < 0.25:
+        at = add(at, r.choice(["article", "main", "section"]), "", "", True)
+    article(at)
+    if r.random() < 0.2:
+        add(body, "aside", r.choice(["", *SIGNS["side"].split()]), _prose(r, 3, 30))
+    if r.random() < 0.6:
+        foot(body)
+
+
 @lru_cache(maxsize=2)
 def trained(pages: int = 1500, seed: int = 7) -> Model:
     """Fits node weights by ridge logistic regression and edge potentials by smoothed counts, on generated labelled pages."""

@@ -19,11 +19,11 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ BLOCK = 512
 #: Ids after which a segment ends, and at most in a segment of a piece.
 SEGMENT_IDS = 1 << 18
 SEGMENTS = "part int, segment int, piece int, pieces int, n_docs long, n_ids long, data binary"
+#: Rows sampled for each part.
+SAMPLE = 100
 #: Bytes that the Parquet writer holds before it writes a row group.
 ROW_GROUP = 8 << 20
 
@@ -129,18 +131,33 @@ def crc32_combine(a: int, b: int, n: int) -> int:
     return a ^ b
 
 
-def tokenized(docs: DataFrame, end_id: int, tokenizer: str, segment_ids: int) -> DataFrame:
-    """Rows (doc_id, tie, row, piece, pieces, wide, ids): each document's ids, of two or (wide) four bytes, in pieces of a segment at most.
+Key = tuple[bool, int, int, int]
 
-    tie is a hash of the text and row a number of the input row: together with doc_id they order all rows.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary())])
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, tie, row, text): tie is a hash of the text and row a number of the input row; together with doc_id they order all rows."""
+    return docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+
+
+def ranges(rows: DataFrame, parts: int) -> list[Key]:
+    """Keys that cut the order of rows (doc_id, tie, row) into parts, from a hash sample of about SAMPLE rows a part; it decides the parts' sizes only."""
+    n = max(1, rows.count())
+    share = min(1 << 20, -(-SAMPLE * parts * (1 << 20) // n))
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < share).select("doc_id", "tie", "row").collect()
+    keys = sorted((r[0] is not None, r[0] or 0, r[1], r[2]) for r in sample)
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def tokenized(rows: DataFrame, end_id: int, tokenizer: str, segment_ids: int, cuts: list[Key]) -> DataFrame:
+    """Rows (part, doc_id, tie, row, piece, pieces, wide, ids): each document's ids, of two or (wide) four bytes, in pieces of a segment at most, and the part they fall into."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
             rows = []
-            for *key, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "tie", "row")), coder.ids(batch["text"]), strict=True):
+            for doc, tie, row, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "tie", "row")), coder.ids(batch["text"]), strict=True):
+                key = (bisect_right(cuts, (doc is not None, doc or 0, tie, row)), doc, tie, row)
                 ids = np.append(np.frombuffer(data, "<u4"), np.uint32(end_id))
                 n = -(-len(ids) // segment_ids)
                 for k in range(n):
@@ -150,8 +167,7 @@ def tokenized(docs: DataFrame, end_id: int, tokenizer: str, segment_ids: int) ->
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 64], strict=True), schema, strict=True)], schema=schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
-    return keyed.mapInArrow(make, "doc_id long, tie long, row long, piece int, pieces int, wide boolean, ids binary")
+    return rows.mapInArrow(make, "part int, doc_id long, tie long, row long, piece int, pieces int, wide boolean, ids binary")
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = None, segment_ids: int = SEGMENT_IDS) -> None:
@@ -165,7 +181,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("piece", pa.int32()), ("pieces", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment = TaskContext.get().partitionId(), 0
+        part, segment = 0, 0
         docs_in: list[int | None] = []
         held: list[np.ndarray] = []
         size = 0
@@ -178,9 +194,11 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, piece, pieces, wide, ids in zip(*(batch[c].to_pylist() for c in ("doc_id", "piece", "pieces", "wide", "ids")), strict=True):
-                if pieces > 1 and held:
+            for to, doc, piece, pieces, wide, ids in zip(*(batch[c].to_pylist() for c in ("part", "doc_id", "piece", "pieces", "wide", "ids")), strict=True):
+                if held and (pieces > 1 or to != part):
                     yield close()
+                if to != part:
+                    part, segment = to, 0
                 docs_in.append(doc)
                 held.append(np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.uint32))
                 size += len(held[-1])
@@ -190,8 +208,9 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
             yield close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = tokenized(docs, end_id, tokenizer or default_tokenizer(), segment_ids).checkpoint()  # the ranges are found by a pass of its own
-    ordered = ids.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row", "piece").select("doc_id", "piece", "pieces", "wide", "ids")
+    rows = keyed(docs)
+    ids = tokenized(rows, end_id, tokenizer or default_tokenizer(), segment_ids, ranges(rows, parts))
+    ordered = ids.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "tie", "row", "piece").select("part", "doc_id", "piece", "pieces", "wide", "ids")
     out = ordered.mapInArrow(make, SEGMENTS).write.option("compression", "none").option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false")
     out.mode("overwrite").parquet(path)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sidetrace.llm.common import prepare
+from sidetrace.llm.common import prepare, spare
 from sidetrace.llm.tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -66,13 +66,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     """(lengths of a bin in order, number of such bins) that pack the histogram {length: pieces} best-two-fit.
 
     Pieces under a sixth of the capacity fill the gaps after the others, as the method was published; also tried are a
-    tenth, no such rule, and no replacement at all (every piece being small), and the plan of fewest bins is taken.
+    tenth and no such rule, and replacing only where the two fill the bin; the plan of fewest bins is taken.
     """
-    tries = [_plan(histogram, capacity, least) for least in (-(-capacity // 6), -(-capacity // 10), 1, capacity + 1)]
+    tries = [_plan(histogram, capacity, least, full) for least in (-(-capacity // 6), -(-capacity // 10), 1) for full in (False, True)]
     return min(tries, key=lambda shapes: sum(n for _, n in shapes))
 
 
-def _plan(histogram: dict[int, int], capacity: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(histogram: dict[int, int], capacity: int, least: int, full: bool = False) -> list[tuple[tuple[int, ...], int]]:
     """Best-two-fit for pieces of ``least`` and more, then greedy filling with the smaller ones, each bin shape used as often as it can."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -105,7 +105,8 @@ def _plan(histogram: dict[int, int], capacity: int, least: int) -> list[tuple[tu
         gap = take(shape, capacity - a, least)
         if gap and len(shape) > 1:
             smallest = min(shape[1:])
-            room, best = gap + smallest, (smallest, 0, 0)
+            room = gap + smallest
+            best = (room - 1 if full else smallest, 0, 0)
             for x in np.flatnonzero(left[least : room // 2 + 1]) + least:
                 left[x] -= 1
                 y = largest(room - int(x), least)
@@ -156,38 +157,40 @@ def places(shapes: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to rows that have doc_id, piece and length (1 to capacity).
+    """Adds sequence_id and offset to rows that have doc_id, piece and length (1 to capacity); clashing columns are replaced.
 
     Equal lengths go to places in the order of partition, doc_id and piece. No pieces give no sequences.
     """
     spark = prepare(pieces.sparkSession)
-    pieces = pieces.withColumn("_part", F.spark_partition_id()).checkpoint()
-    counts = pieces.groupBy("length", "_part").agg(F.count("*").alias("_n")).checkpoint()
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
+    kept = [f for f in pieces.schema if f.name.lower() not in ("sequence_id", "offset")]
+    part, n, base, rank = (spare(x, pieces.columns) for x in ("part", "n", "base", "rank"))
+    pieces = pieces.select(*(F.col(f"`{f.name}`") for f in kept)).withColumn(part, F.spark_partition_id()).checkpoint()
+    counts = pieces.groupBy("length", part).agg(F.count("*").alias(n)).checkpoint()
+    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum(n)).collect()}
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
     where = spark.sparkContext.broadcast(places(plan(histogram, capacity), capacity))
-    base = counts.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_base"))
-    ranked = pieces.withColumn("_r", F.row_number().over(Window.partitionBy("_part", "length").orderBy("doc_id", "piece"))).join(base, ["_part", "length"]).withColumn("_rank", F.col("_base") + F.col("_r") - 1).drop("_part", "_base", "_r")
-    fields = [f for f in pieces.schema if f.name != "_part"]
-    order = [f.name for f in fields]
+    before = counts.select("length", part, (F.sum(n).over(Window.partitionBy("length").orderBy(part)) - F.col(n)).alias(base))
+    own = F.row_number().over(Window.partitionBy(part, "length").orderBy("doc_id", "piece"))
+    ranked = pieces.withColumn(rank, own).join(before, [part, "length"]).withColumn(rank, F.col(base) + F.col(rank) - 1)
+    order = [f.name for f in kept]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = where.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            length, at_rank = batch["length"].to_numpy(), batch[rank].to_numpy()
+            sequence, offset = np.zeros(len(at_rank), np.int64), np.zeros(len(at_rank), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
                 ends, first, slots, offsets = table[int(x)]
-                k = np.searchsorted(ends, rank[at], "right") - 1
-                bin_, slot = np.divmod(rank[at] - ends[k], slots[k])
+                k = np.searchsorted(ends, at_rank[at], "right") - 1
+                bin_, slot = np.divmod(at_rank[at] - ends[k], slots[k])
                 sequence[at] = first[k] + bin_
                 offset[at] = offsets[k, slot]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in order), pa.array(sequence), pa.array(offset)], names=[*order, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return ranked.select(*order, "_rank").mapInArrow(place, schema + ", sequence_id long, offset long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return ranked.select(*(f"`{c}`" for c in order), rank).mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

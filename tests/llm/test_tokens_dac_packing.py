@@ -131,3 +131,9 @@ def test_plan_uses_each_piece_once_and_replaces_the_smallest():
         assert sum(n for _, n in packing.plan(histogram, 50)) <= first_fit_decreasing(pieces, 50)
     # greedy leaves 60+30 with a gap of 10; 20+19 fit the gap of 40 more tightly than 30
     assert packing._plan({60: 1, 30: 1, 20: 1, 19: 1}, 100, 17)[0] == ((60, 20, 19), 1)
+
+
+def test_clashing_columns_of_pieces(spark):
+    pieces = packing.tokenized_pieces(documents(spark, [prose(i, 40) for i in range(9)])).withColumns({"sequence_id": F.lit(-1), "offset": F.lit(-1), "part": F.lit("p"), "rank": F.lit("r"), "n": F.lit("n")})
+    got = packing.pack(pieces).collect()
+    assert check_packing(got, 1024) >= 1 and {(r.part, r.rank, r.n) for r in got} == {("p", "r", "n")} and got[0].__fields__.count("offset") == 1

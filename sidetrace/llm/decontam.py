@@ -2,6 +2,7 @@
 
 Tokens are lower-cased words without punctuation at their edges. Numbers, units of measure and names (words with a capital
 that neither begin a sentence nor are all capitals) become typed placeholders, so that a question with other parameters has the same templates.
+A window also matches word for word, lower-cased, so that a copy in other letter case, whose names can't be told, is met.
 Windows of n template tokens of the items (an item of fewer tokens is one window) are hash-joined with those of the
 documents. Each window has an anchor, its rarest token; only documents whose words hold the anchors of as many windows
 of an item as it takes have their templates made at all, which loses none; a window none of whose words has a letter or digit has a symbol for its anchor. Matches on one alignment of an item with a document count together, if they are slot-consistent: the values behind
@@ -24,7 +25,9 @@ UNITS = (
     "% percent $ € £ usd eur gbp dollar dollars euro euros cent cents kmh mph hz khz mhz ghz kb mb gb tb w kw v degrees celsius fahrenheit"
 ).split()
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&~_-–—“”‘’«»…¿¡"
-_ENDS = "[.!?:;…|]"
+_ENDS = "[.!?:;…|\n\r]"
+#: A word, or a break between lines or cells, after which a sentence begins.
+_TOKEN, _SPACE = r"[^ \t\n\x0B\f\r|]+|[\n\r|][ \t\n\x0B\f\r|]*", " \t\n\x0b\f\r"
 _NO_WORD, _WORD = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]"
 
 
@@ -44,10 +47,10 @@ def template(text: Column) -> Column:
         )
 
     def one(w: Column, before: Column) -> Column:
-        bare = F.btrim(w, F.lit(PUNCTUATION))
+        bare = F.btrim(w, F.lit(PUNCTUATION + _SPACE))
         return F.struct(bare.alias("bare"), F.lower(bare).alias("low"), before.rlike(_ENDS + "\\W*$").alias("starts"))
 
-    words = F.filter(F.split(text, r"[\s|]+"), lambda w: w != "")
+    words = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     found = F.transform(F.array(words), lambda ws: F.zip_with(ws, F.concat(F.array(F.lit(".")), ws), lambda w, before: F.when(w.isNotNull(), one(w, before))))[0]
     kept = F.filter(found, lambda t: t.isNotNull() & (t["low"] != ""))
     return F.transform(kept, lambda t: F.struct(t["low"].alias("raw"), form(t).alias("form")))
@@ -77,9 +80,9 @@ def suspects(docs: DataFrame, w: DataFrame, coverage: float) -> DataFrame:
     longest = F.get(F.array_sort(parts, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
     keys = w.select("item_id", "n_windows", F.coalesce(longest, F.col("anchor")).alias("word"))
     keys = keys.groupBy("item_id", "n_windows", "word").agg(F.count("*").alias("stands_for"))
-    words = docs.select("doc_id", F.explode(F.split(F.lower(text_or_empty("text")), _NO_WORD)).alias("word"))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(text_or_empty("text")), F.lit(_WORD + "+"), F.lit(0))).alias("word"))
     if not keys.where(~F.col("word").rlike(_WORD)).isEmpty():
-        bare = F.transform(F.split(F.lower(text_or_empty("text")), r"[\s|]+"), lambda x: F.btrim(x, F.lit(PUNCTUATION)))
+        bare = F.transform(F.regexp_extract_all(F.lower(text_or_empty("text")), F.lit(_TOKEN), F.lit(0)), lambda x: F.btrim(x, F.lit(PUNCTUATION + _SPACE)))
         words = words.union(docs.select("doc_id", F.explode(F.filter(bare, lambda x: (x != "") & ~x.rlike(_WORD))).alias("word")))
     hit = words.join(small_or_shuffled(keys, 200_000), "word").groupBy("doc_id", "item_id", "word").agg(F.max("stands_for").alias("n"), F.max("n_windows").alias("n_windows"))
     return hit.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max("n_windows").alias("n_windows")).where(F.col("n") >= F.col("n_windows") * coverage).select("doc_id").distinct()
@@ -100,8 +103,10 @@ def matches(docs: DataFrame, items: DataFrame, n: int, coverage: float) -> DataF
     if not cuts:
         cuts = [F.array().cast("array<struct<start:int,t:array<struct<raw:string,form:string>>>>")]
     cut = d.select("doc_id", F.explode(F.concat(*cuts)).alias("c")).select("doc_id", "c.start", F.col("c.t.raw").alias("d_raw"), F.col("c.t.form").alias("d_form"))
-    cut = cut.withColumn("hash", F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")))
-    both = cut.join(small_or_shuffled(w, 50_000), "hash").where("d_form = form")
+    # by the template and by the words themselves; where the two are one, once
+    cut = cut.select("*", F.explode(F.array_distinct(F.array(F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")), F.xxhash64(F.size("d_raw"), F.array_join("d_raw", " "))))).alias("hash"))
+    keyed = w.select(*(c for c in w.columns if c != "hash"), F.explode(F.array_distinct(F.array("hash", F.xxhash64(F.size("raw"), F.array_join("raw", " "))))).alias("hash"))
+    both = cut.join(small_or_shuffled(keyed, 50_000), "hash").where("d_form = form or d_raw = raw")
     slots = F.filter(F.transform(F.sequence(F.lit(1), F.size("form")), lambda i: F.when(F.element_at("form", i).isin(NUMBER, NAME, UNIT), F.struct((F.col("at") + i).alias("slot"), F.element_at("raw", i).alias("item"), F.element_at("d_raw", i).alias("doc")))), lambda x: x.isNotNull())
     return both.select("doc_id", "item_id", (F.col("start") - F.col("at")).alias("shift"), "at", "n_windows", slots.alias("pairs"))
 

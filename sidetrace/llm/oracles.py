@@ -41,12 +41,12 @@ def _quoted(text: str) -> str:
 
 def _template(table: str, key: str) -> str:
     """(key, t: list of {raw, form}) of a table's texts."""
-    bare = f"trim(w[i], {_quoted(decontam.PUNCTUATION)})"
+    bare = f"trim(w[i], {_quoted(decontam.PUNCTUATION + decontam._SPACE)})"
     units = "[" + ", ".join(map(_quoted, decontam.UNITS)) + "]"
     return f"""(SELECT {key}, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'raw': lower({bare}), 'form':
 CASE WHEN regexp_matches({bare}, '^[+-]?[$€£]?[0-9][0-9.,/:]*[%$€£]?$') THEN '{decontam.NUMBER}' WHEN list_contains({units}, lower({bare})) THEN '{decontam.UNIT}'
-WHEN lower({bare}) <> {bare} AND upper({bare}) <> {bare} AND i > 1 AND NOT regexp_matches(w[i - 1], '[.!?:;…|][^a-zA-Z_0-9]*$') THEN '{decontam.NAME}' ELSE lower({bare}) END}}), lambda t: t.raw <> '') AS t
-FROM (SELECT {key}, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r|]+'), lambda x: x <> '') AS w FROM {table}))"""
+WHEN lower({bare}) <> {bare} AND upper({bare}) <> {bare} AND i > 1 AND NOT regexp_matches(w[i - 1], '{decontam._ENDS}[^a-zA-Z_0-9]*$') THEN '{decontam.NAME}' ELSE lower({bare}) END}}), lambda t: t.raw <> '') AS t
+FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), {_quoted(decontam._TOKEN)}) AS w FROM {table}))"""
 
 
 _KINDS = f"['{decontam.NUMBER}', '{decontam.NAME}', '{decontam.UNIT}']"
@@ -54,11 +54,11 @@ _KINDS = f"['{decontam.NUMBER}', '{decontam.NAME}', '{decontam.UNIT}']"
 #: Every window of the items against every window of the documents, by equal templates.
 OP5 = f"""WITH it AS (SELECT item_id, t, least(len(t), 8) AS size FROM {_template('benchmark', 'item_id')} WHERE len(t) > 0),
 w AS (SELECT DISTINCT item_id, i - 1 AS pos, size, t[i:i + size - 1] AS t FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS i FROM it)),
-iw AS (SELECT item_id, pos, size, t, array_to_string([x.form for x in t], ' ') AS f, count(*) OVER (PARTITION BY item_id) AS n_windows FROM w WHERE len([x for x in t if NOT list_contains({_KINDS}, x.form)]) > 0),
+iw AS (SELECT item_id, pos, size, t, array_to_string([x.form for x in t], ' ') AS f, array_to_string([x.raw for x in t], ' ') AS r, count(*) OVER (PARTITION BY item_id) AS n_windows FROM w WHERE len([x for x in t if NOT list_contains({_KINDS}, x.form)]) > 0),
 dt AS {_template('documents', 'doc_id')},
 dw AS (SELECT doc_id, i - 1 AS start, size, t[i:i + size - 1] AS t FROM (SELECT doc_id, t, size, unnest(range(1, len(t) - size + 2)) AS i FROM dt, (SELECT DISTINCT size FROM iw) WHERE len(t) >= size)),
 m AS (SELECT doc_id, item_id, start - pos AS shift, pos, n_windows, [{{'slot': pos + i, 'item': iw.t[i].raw, 'doc': dw.t[i].raw}} for i in range(1, iw.size + 1) if list_contains({_KINDS}, iw.t[i].form)] AS pairs
-FROM iw JOIN (SELECT *, array_to_string([x.form for x in t], ' ') AS f FROM dw) dw ON dw.f = iw.f AND dw.size = iw.size),
+FROM iw JOIN (SELECT *, array_to_string([x.form for x in t], ' ') AS f, array_to_string([x.raw for x in t], ' ') AS r, FROM dw) dw ON dw.size = iw.size AND (dw.f = iw.f OR dw.r = iw.r)),
 g AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n_matched, max(n_windows) AS n_windows, list_distinct(flatten(list(pairs))) AS pairs FROM m GROUP BY ALL),
 c AS (SELECT *, len(pairs) AS n_slots, len([p for p in pairs if p.item <> p.doc]) AS n_changed FROM g WHERE n_matched >= greatest(1, ceil(n_windows * 0.5)) AND len(list_distinct([p.item for p in pairs])) = len(list_distinct([{{'i': p.item, 'd': p.doc}} for p in pairs]))),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_changed, n_windows DESC, n_slots DESC) AS rn FROM c)

@@ -91,10 +91,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """Linear conversations (conv_id, turn, role, text) as reply trees: each row answers the one before it by turn, role and text."""
+    """Linear conversations (conv_id, turn, role, text) as reply trees: each row answers the one before it by turn, role and text.
+
+    The trees are named by texts, so that the rows without conv_id are a conversation of their own; see conversation_id.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     place = conversations.select("conv_id", "turn", "role", "text").withColumn("id", F.row_number().over(order).cast("long"))
-    return place.select(F.col("conv_id").alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return place.select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+
+
+def conversation_id(tree: Column) -> Column:
+    """The conv_id of a tree of conversation_messages; null for that of the rows without one."""
+    return F.when(F.startswith(tree, F.lit("=")), F.substring(tree, 2, 2147483647)).cast("long")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -103,6 +111,6 @@ def digests(formatted: DataFrame) -> DataFrame:
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")
     return back.select(
-        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"),
+        conversation_id(F.col("tree")).alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )

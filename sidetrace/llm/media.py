@@ -99,18 +99,23 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, by differences of an integral image that is linear inside a sample."""
-    h, w = image.shape[:2]
-    total = np.zeros((h + 1, w + 1, image.shape[2]))
-    total[1:, 1:] = image.astype(np.float64).cumsum(axis=0).cumsum(axis=1)
-
-    def at(edges: np.ndarray, axis: int, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), table.shape[axis] - 2)
-        part = (edges - low).reshape([-1 if a == axis else 1 for a in range(3)])
-        return table.take(low, axis) * (1 - part) + table.take(low + 1, axis) * part
+    """Means over equal areas, by differences of an integral image that is linear inside a sample.
 
+    Of the integral image only the rows beside the areas' edges are made, from sums of strips, so memory doesn't grow with
+    the image's height.
+    """
+    h, w = image.shape[:2]
     y, x = np.arange(height + 1) * h / height, np.arange(width + 1) * w / width
-    corners = at(x, 1, at(y, 0, total))
+    low = np.minimum(y.astype(np.int64), h - 1)
+    cuts = np.unique(np.concatenate([[0], low, low + 1]))
+    ends, cuts = np.append(cuts[cuts < h], h), cuts[cuts < h]
+    strips = np.zeros((len(ends), w + 1, image.shape[2]))
+    strips[1:, 1:] = np.add.reduceat(image, cuts, axis=0, dtype=np.float64).cumsum(axis=0).cumsum(axis=1)
+    part = (y - low)[:, None, None]
+    rows = strips[np.searchsorted(ends, low)] * (1 - part) + strips[np.searchsorted(ends, low + 1)] * part
+    left = np.minimum(x.astype(np.int64), w - 1)
+    part = (x - left)[None, :, None]
+    corners = rows[:, left] * (1 - part) + rows[:, left + 1] * part
     return np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (h * w))
 
 
@@ -170,19 +175,24 @@ def tiles(images: DataFrame, key: str, column: str = "media", size: int = 8) ->
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What the stored media say of the texts in them: payload and media digests and the difference hash, by doc_id."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"]
+    """What the stored media say of the texts in them: payload and media digests, the difference hash and the NPY tile, by doc_id.
+
+    A null or broken medium keeps its row, with nulls beside doc_id and n_bytes.
+    """
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "tile": pa.binary(), "tile_sha256": pa.string()}
+
+    def one(media: bytes | None) -> tuple:
+        try:
+            image = decode(media or b"")
+        except (ValueError, IndexError, struct.error):
+            return (None,) * len(kinds)
+        payload = memoryview(image).cast("B")
+        tile = npy(area_resize(image, 8, 8).round().astype(np.uint8))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), tile, hashlib.sha256(tile).hexdigest()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for media in batch["media"]:
-                media = media.as_py()
-                image = decode(media)
-                payload = image.tobytes()
-                tile = npy(area_resize(image, 8, 8).round().astype(np.uint8))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(tile).hexdigest()))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
-
-    return stored.mapInArrow(make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+            rows = [one(media.as_py()) for media in batch["media"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values()))], names=["doc_id", "n_bytes", *kinds])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, tile_sha256 string")

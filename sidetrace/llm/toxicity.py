@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidetrace.llm import textvec
@@ -186,6 +186,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(make, schema)
 
 
+def rejected() -> Column:
+    """Whether grade 1 or more is likelier than not, in rows of score."""
+    return F.col("p_toxic") >= 0.5
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Trains on labels and scores docs; toxic says whether grade 1 or more is likelier than not."""
-    return score(docs, train(docs, labels, max_rows)).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return score(docs, train(docs, labels, max_rows)).withColumn("toxic", rejected())

@@ -48,6 +48,7 @@ def expected(rows):
 
 def test_conversations_read_back(spark, tmp_path):
     rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "[INST]\\ yes\n"), (1, 2, None, None), (2, 5, "assistant", None), (2, 1, "system", "é"), (3, 0, "user", "x" * 50000), (3, 0, "user", "x" * 50000), (3, 1, "assistant", "日本</s>")]
+    rows += [(None, 1, "assistant", "none"), (None, 0, "user", "of them")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in Q.op1_chat(spark, str(tmp_path)).collect()}
     assert got == expected(rows + [(-1, 0, "user", Q.CONTROL_TEXT), (-1, 1, "assistant", Q.CONTROL_TEXT)])

@@ -36,6 +36,36 @@ def test_area_resize_equals_means():
     assert (np.load(io.BytesIO(M.npy(image))) == image).all()
 
 
+def plain_resize(image, height, width):
+    """Each output sample as a sum over all input samples, weighted by the shared area."""
+    h, w, c = image.shape
+    out = np.zeros((height, width, c))
+    for i in range(height):
+        for j in range(width):
+            for y in range(h):
+                for x in range(w):
+                    a = max(0.0, min((i + 1) * h / height, y + 1) - max(i * h / height, y))
+                    b = max(0.0, min((j + 1) * w / width, x + 1) - max(j * w / width, x))
+                    out[i, j] += a * b * image[y, x]
+    return out * height * width / (h * w)
+
+
+def test_resize_and_difference_hash_equal_brute_force():
+    r = np.random.default_rng(2)
+    for h, w, c in ((1, 1, 1), (5, 7, 3), (13, 4, 1), (3, 64, 1), (20, 11, 1)):
+        image = r.integers(0, 256, (h, w, c), np.uint8)
+        for size in ((8, 9), (3, 2), (8, 8)):
+            assert np.allclose(M.area_resize(image, *size), plain_resize(image, *size))
+        small = plain_resize(image, 8, 9).mean(axis=2).round(6)
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+        assert M.difference_hash(image) == f"{int(bits, 2):016x}"
+
+
+def test_digests_of_broken_media(spark):
+    df = spark.createDataFrame([(1, 3, None), (2, 3, bytearray(b"xx"))], "doc_id long, n_bytes long, media binary")
+    assert [(r.n_bytes, r.payload_sha256, r.tile) for r in M.digests(df).collect()] == [(3, None, None)] * 2
+
+
 def test_tiles_keep_broken_rows(spark):
     good = M.encode_pgm(np.tile(np.arange(64, dtype=np.uint8), (64, 1)))
     df = spark.createDataFrame([(1, good), (2, None), (3, b"xx"), (4, M.encode_bmp(np.zeros((2, 2, 3), np.uint8)))], "doc_id long, media binary").withColumn("tile", F.lit("clash"))

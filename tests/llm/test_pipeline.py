@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sidetrace.llm import queries
 from tests.llm.helpers import HARD, documents, prose
@@ -31,6 +33,23 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), d).count() == 0
 
 
+def test_rows_without_an_id_or_that_share_one_are_judged_by_their_texts(spark, tmp_path):
+    d = str(tmp_path)
+    item = prose(9999, 30)
+    toxic = prose(5, 60) + " " + " ".join(BAD * 3)
+    texts = [(i, prose(i, 60) + (" " + " ".join(BAD) if i % 5 == 0 else "")) for i in range(200)]
+    odd = [(None, toxic), (None, prose(900, 50)), (None, prose(901, 50)), (None, prose(901, 50)), (None, "Words. " + item), (1, prose(902, 50)), (1, toxic), (2, "Words. " + item)]
+    docs = documents(spark, texts + odd).withColumn("row", F.lit("clash")).repartition(3)
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    left = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, left, d).write.parquet(f"{d}/{stage.__name__}")
+        left = spark.read.parquet(f"{d}/{stage.__name__}")
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted((str(i), t) for i, t in texts + [odd[1], odd[2], odd[5]] if i is None or i % 5 or i == 1)
+
+
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))

@@ -112,6 +112,13 @@ def test_leaks(spark):
     assert decontam.contamination(docs.limit(0), items).count() == decontam.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_line_breaks_and_letter_case_hide_no_copy(spark):
+    items = spark.createDataFrame([(0, "What is the capital of France?"), (1, "In May Anna Berg met Carl Dahl and Eva Falk near the old Riga bridge with her friend Gus")], "item_id long, text string")
+    one, two = "What is the capital of France?", "In May Anna Berg met Carl Dahl and Eva Falk near the old Riga bridge with her friend Gus"
+    docs = documents(spark, ["Quiz\n" + one, "Quiz | " + one, two.upper(), "so. " + two.lower() + " " + prose(1, 30), prose(2, 60), "what was the capital"])
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contamination(docs, items).collect()) == [(0, 0), (1, 0), (2, 1), (3, 1)]
+
+
 def test_slots_must_agree(spark):
     item = "The sum of 4 and 4 and 4 and then 7 is what number we want to know now"
     items = spark.createDataFrame([(0, item)], "item_id long, text string")

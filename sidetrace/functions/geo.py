@@ -89,9 +89,10 @@ def bounds(lines: Column) -> Column:
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
 
 
-def intersects(a: Column, west: Column | float, south: Column | float, east: Column | float, north: Column | float) -> Column:
-    """Whether a bounds struct meets a box, edges included."""
-    return (a["max_x"] >= west) & (a["min_x"] <= east) & (a["max_y"] >= south) & (a["min_y"] <= north)
+def intersects(a: Column | None, west: Column | float, south: Column | float, east: Column | float, north: Column | float) -> Column:
+    """Whether a bounds struct, or the columns min_x to max_y of a row, meet a box, edges included."""
+    side = (lambda c: a[c]) if a is not None else F.col
+    return (side("max_x") >= west) & (side("min_x") <= east) & (side("max_y") >= south) & (side("min_y") <= north)
 
 
 def reverse_lines(lines: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidetrace import vocab
@@ -30,10 +30,22 @@ def regression(previous: DataFrame, current: DataFrame, floors: dict[str, int] |
     limits = F.create_map(*(F.lit(x) for kv in (floors or vocab.FLOORS).items() for x in kv))
     both = previous.select("metric", F.col("n").alias("previous")).join(current.select("metric", F.col("n").alias("current")), "metric", "full_outer")
     n = F.coalesce("current", F.lit(0))
-    verdict = F.when(n < F.coalesce(F.try_element_at(limits, F.col("metric")), F.lit(0)), "below_floor").when(n < F.col("previous") * F.lit(1 - max_drop).cast("decimal(9,6)"), "dropped").otherwise("ok")
+    verdict = F.when(n < F.coalesce(F.try_element_at(limits, F.col("metric")), F.lit(0)), "below_floor").otherwise(drop_verdict(F.col("previous"), n, max_drop))
     return both.select("metric", "previous", n.alias("current"), verdict.alias("verdict"))
 
 
+def drop_verdict(previous: Column, current: Column, max_drop: float = vocab.MAX_DROP) -> Column:
+    """dropped if a count fell by more than the share allowed, else ok."""
+    return F.when(current < previous * F.lit(1 - max_drop).cast("decimal(9,6)"), "dropped").otherwise("ok")
+
+
+def deltas(df: DataFrame, group: str, version: str) -> DataFrame:
+    """Rows (group, version, n, delta, verdict): each version's count beside that of the one before."""
+    before = F.lag("n").over(Window.partitionBy(group).orderBy(version))
+    seen = df.select(group, version, "n", before.alias("before"))
+    return seen.select(group, version, "n", F.coalesce(F.col("n") - F.col("before"), F.lit(0)).alias("delta"), F.when(F.col("before").isNull(), "first").otherwise(drop_verdict(F.col("before"), F.col("n"))).alias("verdict"))
+
+
 def size_gate(tiles: DataFrame, most: int = vocab.MAX_TILE_BYTES, most_raw: int = vocab.MAX_RAW_TILE_BYTES) -> DataFrame:
     """Tiles (z, x, y, data, raw_bytes) over a ceiling, which may be lowered but not raised."""
     if most > vocab.MAX_TILE_BYTES or most_raw > vocab.MAX_RAW_TILE_BYTES:
@@ -41,9 +53,9 @@ def size_gate(tiles: DataFrame, most: int = vocab.MAX_TILE_BYTES, most_raw: int
     return tiles.where((F.length("data") > most) | (F.col("raw_bytes") > most_raw)).select("z", "x", "y", F.length("data").alias("bytes"), "raw_bytes")
 
 
-def policy_age(as_of: Column, reviewed: str = vocab.POLICY_REVIEWED) -> Column:
+def policy_age(as_of: Column, reviewed: str | Column = vocab.POLICY_REVIEWED) -> Column:
     """ok, warn or block by the days since a policy's review."""
-    age = F.datediff(as_of, F.lit(reviewed).cast("date"))
+    age = F.datediff(as_of, reviewed if isinstance(reviewed, Column) else F.lit(reviewed).cast("date"))
     return F.when(age > vocab.POLICY_BLOCK_DAYS, "block").when(age > vocab.POLICY_WARN_DAYS, "warn").otherwise("ok")
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from sidetrace import vocab
 from sidetrace.functions import geo as G
 from sidetrace.functions import text as T
+from sidetrace.operators import relate as R
 
+# Field names of the line source.
 LINE_FIELDS = ("SegmentTyp", "FeatureTyp", "Status", "NonPed", "SegmentID", "LBlockFaceID", "RBlockFaceID", "LBoro", "RBoro", "Street", "FromLeft", "ToLeft", "FromRight", "ToRight")
 OPTIONAL_FIELDS = ("SAFStreetName", "SpecAddr", "LocStatus", "BoroBndry", "PhysicalID", "GenericID", "LLo_Hyphen", "LHi_Hyphen", "RLo_Hyphen", "RHi_Hyphen")
 ADDRESSES = {"LEFT": ("FromLeft", "ToLeft", "LLo_Hyphen", "LHi_Hyphen"), "RIGHT": ("FromRight", "ToRight", "RLo_Hyphen", "RHi_Hyphen")}
@@ -70,6 +72,7 @@ def segments(lion: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.size(F.collect_set(F.struct("id_LEFT", "id_RIGHT"))).alias("n_ids"),
         *(F.size(F.collect_set(f"boro_{s}")).alias(f"n_boro_{s}") for s in SIDES), *(F.max(f"boro_{s}").alias(f"borough_{s}") for s in SIDES),
         *(F.bool_or(f"bad_boro_{s}").alias(f"any_bad_{s}") for s in SIDES), *(F.bool_and(f"boundary_{s}").alias(f"all_boundary_{s}") for s in SIDES), *(F.bool_or(f"range_{s}").alias(f"any_range_{s}") for s in SIDES),
+        *(F.array_sort(F.collect_set(F.struct("source_row", F.col("named_street").alias("street"), *(F.col(c).cast("string").alias(n) for n, c in zip(("from_address", "to_address"), ADDRESSES[s][:2], strict=True))))).alias(f"records_{s}") for s in SIDES),
         F.array_sort(F.collect_set("source_row")).alias("source_rows"), F.array_sort(F.array_remove(F.collect_set("named_street"), "")).alias("street_names"),
         F.min(F.struct("special", "named_street", "source_row")).alias("first"),
     )
@@ -78,14 +81,20 @@ def segments(lion: DataFrame) -> tuple[DataFrame, DataFrame]:
     # row-level verdicts join back on the group: geometry keys are digests, so the rows are narrow
     verdict = live.select("source_row", *group).join(told.select(*group, "conflict", F.col("first.source_row").alias("canonical")), group)
     ended = verdict.where(F.col("conflict").isNotNull() | (F.col("source_row") != F.col("canonical"))).select("source_row", F.when(F.col("conflict").isNotNull(), "invalid").otherwise("deduplicated_alias").alias("outcome"), F.coalesce("conflict", F.lit("exact alias of another row")).alias("reason"))
-    keep = told.where("conflict is null").select(F.col("first.source_row").alias("source_row"), "source_rows", "street_names", *(F.col(f"borough_{s}") for s in SIDES), *(F.col(f"all_boundary_{s}") for s in SIDES), *(F.col(f"any_range_{s}") for s in SIDES))
+    keep = told.where("conflict is null").select(F.col("first.source_row").alias("source_row"), "source_rows", "street_names", *(F.col(f"borough_{s}") for s in SIDES), *(F.col(f"{c}_{s}") for c in ("all_boundary", "any_range", "records") for s in SIDES))
     canonical = live.select("source_row", "segment_id", F.col("named_street").alias("street"), "lines", F.col("PhysicalID").cast("string").alias("physical_id"), *(f"id_{s}" for s in SIDES)).join(keep, "source_row")
     return early.union(ended), canonical
 
 
+def multi_geometry(lion: DataFrame) -> DataFrame:
+    """Rows (segment_id, n_geometries, source_rows) of segments in scope that several geometries share."""
+    rows = row_outcomes(lion).where("outcome is null")
+    return rows.groupBy("segment_id").agg(F.count_distinct("geometry_key").alias("n_geometries"), F.array_sort(F.collect_set("source_row")).alias("source_rows")).where("n_geometries > 1")
+
+
 def side_rows(canonical: DataFrame) -> DataFrame:
     """Two rows for each canonical segment, with the outcome of those that need no geometry; null outcomes go on."""
-    each = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"id_{s}").alias("block_face_id"), F.col(f"borough_{s}").alias("borough"), F.col(f"all_boundary_{s}").alias("boundary"), F.col(f"any_range_{s}").alias("has_range")) for s in SIDES))
+    each = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"id_{s}").alias("block_face_id"), F.col(f"borough_{s}").alias("borough"), F.col(f"all_boundary_{s}").alias("boundary"), F.col(f"any_range_{s}").alias("has_range"), F.col(f"records_{s}").alias("records")) for s in SIDES))
     df = canonical.select("source_row", "source_rows", "segment_id", "street_names", F.coalesce(F.nullif("street", F.lit("")), F.element_at(F.when(F.size("street_names") > 0, F.col("street_names")), 1), F.lit("")).alias("street"), "physical_id", "lines", F.explode(each).alias("s")).select("*", "s.*").drop("s")
     broken = G.line_error(F.col("lines"))
     nobody = T.is_non_addressable(F.col("block_face_id"))
@@ -109,7 +118,7 @@ def polygons(freq: DataFrame) -> DataFrame:
     points = F.flatten(F.flatten("polys"))
     sound = F.col("polys").isNotNull() & (F.size("polys") > 0) & F.forall(F.flatten("polys"), lambda ring: F.size(ring) >= 3)
     df = freq.select("*", (T.clean_identifier(F.col(id_field)) if id_field else F.lit("")).alias("object_id"), *(T.schedule_state(t, raw[t], raw["RECYCLING"] if t == "ORGANICS" else None).alias(f"state_{t}") for t in vocab.TYPES), F.coalesce(sound, F.lit(False)).alias("sound"))
-    repeats = df.where("object_id <> ''").groupBy("object_id").agg(F.count("*").alias("n_same"))
+    repeats = R.repeated(df.where("object_id <> ''"), "object_id").withColumnRenamed("n", "n_same")
     df = df.join(repeats, "object_id", "left")
     errors = F.filter(
         F.array(
@@ -119,7 +128,7 @@ def polygons(freq: DataFrame) -> DataFrame:
     )
     edge = lambda f, c: F.when(F.col("sound"), f(F.transform(points, lambda p: p[c])))
     return df.select(
-        "frequency_row", "object_id", "polys", *(f"state_{t}" for t in vocab.TYPES), errors.alias("errors"), T.signature({t: F.col(f"state_{t}") for t in vocab.TYPES}).alias("signature"),
+        "frequency_row", "object_id", *(column_or_null(freq, c).cast("string").alias(n) for c, n in (("SCHEDULECODE", "schedule_code"), ("SECTION", "section"), ("DISTRICT", "district"))), "polys", *(f"state_{t}" for t in vocab.TYPES), errors.alias("errors"), T.signature({t: F.col(f"state_{t}") for t in vocab.TYPES}).alias("signature"),
         edge(F.array_min, "x").alias("min_x"), edge(F.array_min, "y").alias("min_y"), edge(F.array_max, "x").alias("max_x"), edge(F.array_max, "y").alias("max_y"),
     )
 

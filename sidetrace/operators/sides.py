@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidetrace import vocab
@@ -15,12 +15,15 @@ from sidetrace.functions import text as T
 from sidetrace.operators import gates
 from sidetrace.operators import kernels as K
 from sidetrace.operators import prepare as P
-from sidetrace.operators.rangejoin import box_join, merged_intervals
+from sidetrace.operators import relate as R
+from sidetrace.operators.rangejoin import box_join, interval_join, merged_intervals
 
 _LINES = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 _LINES_SQL = "array<array<struct<x:double,y:double>>>"
 #: Cells of the overlay's grid, in feet: about the extent of a long block.
 CELL = 2000.0
+#: Rows of polygons without their shapes that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 20_000
 
 
 def _plain(lines) -> list[K.Line]:
@@ -126,11 +129,10 @@ def overlay(lion: DataFrame, freq: DataFrame, distance: float = vocab.OFFSET_FEE
     exact = overlaps(good, usable).checkpoint()
     rest = good.join(exact.select(*key).distinct(), key, "left_anti")
     near = overlaps(rest, usable, tolerance)
-    found = exact.withColumn("used_tolerance", F.lit(False)).union(near.withColumn("used_tolerance", F.lit(True))).join(F.broadcast(polys.select(F.col("frequency_row").cast("long"), "signature", "object_id", (F.size("errors") > 0).alias("broken"))) if polys.limit(20_001).count() <= 20_000 else polys.select(F.col("frequency_row").cast("long"), "signature", "object_id", (F.size("errors") > 0).alias("broken")), "frequency_row").checkpoint()
+    told = polys.select(F.col("frequency_row").cast("long"), "signature", "object_id", "schedule_code", "section", "district", (F.size("errors") > 0).alias("broken"))
+    found = exact.withColumn("used_tolerance", F.lit(False)).union(near.withColumn("used_tolerance", F.lit(True))).join(F.broadcast(told) if not R.over_cap(told, MOST_BROADCAST) else told, "frequency_row").checkpoint()
     covered = merged_intervals(found.select(*key, "part", "lo", "hi"), [*key, "part"]).groupBy(*key).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
-    a, b = found.alias("a"), found.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*key, "part")]
-    clash = a.join(b, same[0] & same[1] & same[2] & (F.col("a.frequency_row") < F.col("b.frequency_row")) & (F.col("a.signature") != F.col("b.signature")) & (F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo") > 1e-6)).select(*(F.col(f"a.{c}").alias(c) for c in key)).distinct().withColumn("clash", F.lit(True))
+    clash = conflicts(found, [*key, "part"]).select(*key).distinct().withColumn("clash", F.lit(True))
     met = found.groupBy(*key).agg(F.bool_or("broken").alias("meets_broken"), F.bool_or("used_tolerance").alias("used_tolerance"))
     facts = traced.select(*key, "trace_length", "used_offset", "strategy", "error").join(met, key, "left").join(covered, key, "left").join(clash, key, "left")
     facts = facts.withColumn("covered", F.least("covered", "trace_length"))
@@ -146,23 +148,24 @@ def overlay(lion: DataFrame, freq: DataFrame, distance: float = vocab.OFFSET_FEE
     facts = facts.select(*key, "trace_length", "covered", "used_offset", "strategy", "used_tolerance", outcome.alias("o"), reason.alias("r"))
     sides = rows.join(facts, key, "left").withColumn("outcome", F.coalesce("outcome", "o")).withColumn("reason", F.coalesce("reason", "r")).drop("o", "r").withColumn("coverage_ratio", F.col("covered") / F.col("trace_length")).checkpoint()
     # candidates: a side's pieces by signature
-    emitting = sides.where(F.col("outcome").isin("matched", "partially_outside_schedule_area")).select(*key, "block_face_id", "segment_id", "borough", "street", "street_names", "source_rows")
-    groups = found.join(emitting.select(*key), key, "left_semi").groupBy(*key, "signature").agg(F.array_sort(F.collect_set("object_id")).alias("object_ids"), F.array_sort(F.collect_set("frequency_row")).alias("frequency_rows"), F.array_sort(F.collect_set(F.struct("part", F.col("source_lo").alias("lo"), F.col("source_hi").alias("hi")))).alias("spans"))
+    emitting = sides.where(F.col("outcome").isin("matched", "partially_outside_schedule_area")).select(*key, "block_face_id", "segment_id", "borough", "street", "street_names", "source_rows", "records")
+    groups = found.join(emitting.select(*key), key, "left_semi").groupBy(*key, "signature").agg(F.array_sort(F.collect_set("object_id")).alias("object_ids"), F.array_sort(F.collect_set(F.struct("object_id", "frequency_row", "schedule_code", "section", "district"))).alias("freq_sources"), F.array_sort(F.collect_set(F.struct("part", F.col("source_lo").alias("lo"), F.col("source_hi").alias("hi")))).alias("spans"))
     drawn = pieces(groups.join(good.select(*key, "sources"), key), [*key, "signature"])
     candidates = groups.drop("spans").join(drawn, [*key, "signature"]).join(emitting, key).checkpoint()
     # features: candidates of one face, borough and signature; the first by segment, row and side sets the display side
     first = F.min(F.struct("segment_id", "source_row", "side", "street"))
     shown = candidates.groupBy("block_face_id", "borough", "signature").agg(first.alias("f")).select("block_face_id", "borough", "signature", "f.side", "f.segment_id", F.col("f.street").alias("street_name"))
-    turned = candidates.select("block_face_id", "borough", "signature", F.col("side").alias("own"), "segment_id", "source_row", "source_rows", "street_names", "object_ids", "geometry").join(shown.withColumnRenamed("segment_id", "first_segment"), ["block_face_id", "borough", "signature"])
+    turned = candidates.select("block_face_id", "borough", "signature", F.col("side").alias("own"), "segment_id", "source_row", "source_rows", "street_names", "records", "object_ids", "freq_sources", "geometry").join(shown.withColumnRenamed("segment_id", "first_segment"), ["block_face_id", "borough", "signature"])
     turned = turned.withColumn("geometry", F.when(F.col("own") == F.col("side"), F.col("geometry")).otherwise(G.reverse_lines(F.col("geometry"))))
     merged = turned.groupBy("block_face_id", "borough", "signature", "side", F.col("first_segment").alias("segment_id"), "street_name").agg(
         G.combine(F.transform(F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("s"), "source_row", "own", "geometry"))), lambda x: x["geometry"])).alias("lines"),
-        F.array_sort(F.collect_set("segment_id")).alias("segment_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("street_names")))).alias("street_names"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("object_ids")))).alias("dsny_object_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_rows")))).alias("source_rows"),
+        F.array_sort(F.collect_set("segment_id")).alias("segment_ids"), united("street_names").alias("street_names"),
+        united("object_ids").alias("dsny_object_ids"), united("freq_sources").alias("dsny_sources"), united("source_rows").alias("source_rows"),
+        F.array_sort(F.collect_set(F.struct(F.col("segment_id").alias("segment_id"), F.col("own").alias("source_side"), "source_rows", "street_names", F.col("records").alias("source_records"), F.col("object_ids").alias("dsny_object_ids")))).alias("lion_components"),
     )
-    split = merged.groupBy("block_face_id").agg(F.count("*").alias("n_parts"))
+    merged = split_marks(merged, "block_face_id", "borough")
     states = polys.where("size(errors) = 0").groupBy("signature").agg(*(F.any_value(f"state_{t}").alias(t) for t in vocab.TYPES))
-    features = merged.join(split, "block_face_id").join(states, "signature").withColumn("feature_key", F.when(F.col("n_parts") > 1, T.split_key(F.col("block_face_id"), F.col("borough"), F.col("signature"))).otherwise(F.col("block_face_id"))).drop("n_parts")
+    features = merged.join(states, "signature").withColumn("feature_key", F.when(F.col("n_parts") > 1, T.split_key(F.col("block_face_id"), F.col("borough"), F.col("signature"))).otherwise(F.col("block_face_id"))).drop("n_parts")
     # unknown faces: what has geometry but no schedule
     spans = found.groupBy(*key).agg(F.collect_list(F.struct("part", F.col("source_lo").alias("lo"), F.col("source_hi").alias("hi"))).alias("spans"))
     partial = sides.where("outcome = 'partially_outside_schedule_area'").select(*key).join(spans, key).join(good.select(*key, "sources"), key)
@@ -177,6 +180,31 @@ def overlay(lion: DataFrame, freq: DataFrame, distance: float = vocab.OFFSET_FEE
     return Overlay(sides.unionByName(both, allowMissingColumns=True), candidates, features, unknown, outcomes, early)
 
 
+def conflicts(spans: DataFrame, keys: list[str], row: str = "frequency_row", sign: str = "signature", least: float = 1e-6) -> DataFrame:
+    """Rows (keys, first, second) of pairs of spans (keys, row, sign, lo, hi) of different signs that share more than ``least``.
+
+    The pairs meet by cells of the spans' own width, so many spans under one key aren't compared each with each.
+    """
+    width = spans.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 1.0
+    narrow = spans.select(*keys, row, sign, "lo", "hi")
+    pairs = interval_join(narrow, narrow, float(width) or 1.0, on=tuple(keys))
+    share = F.least("l_hi", "r_hi") - F.greatest("l_lo", "r_lo")
+    pairs = pairs.where((F.col(f"l_{row}") < F.col(f"r_{row}")) & (F.col(f"l_{sign}") != F.col(f"r_{sign}")) & (share > least))
+    return pairs.select(*(F.col(f"l_{k}").alias(k) for k in keys), F.col(f"l_{row}").alias("first"), F.col(f"r_{row}").alias("second"))
+
+
+def split_marks(df: DataFrame, origin: str, area: str) -> DataFrame:
+    """Adds n_parts, is_split and is_area_split: how many rows an origin has, and whether they differ in area. Joined back by origin, pre-aggregated."""
+    g = df.groupBy(origin).agg(F.count("*").alias("n_parts"), F.min(area).alias("_lo"), F.max(area).alias("_hi"))
+    marks = g.select(origin, "n_parts", (F.col("n_parts") > 1).alias("is_split"), (F.col("_lo") != F.col("_hi")).alias("is_area_split"))
+    return df.join(marks, origin)
+
+
+def united(column: str) -> Column:
+    """An aggregate: the distinct elements of all arrays, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
+
+
 def uncovered(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, hole): what the spans leave of the sources."""
     fields = [f for f in df.schema if f.name in keys]
@@ -204,9 +232,14 @@ def audit(lion: DataFrame, freq: DataFrame, o: Overlay) -> dict:
     """Counts of every outcome, the three reconciliations, fatal arithmetic and the verdict, from one pass over counts."""
     outcomes = {r[0]: r[1] for r in gates.outcome_counts(o.sides, "outcome", vocab.SIDE_OUTCOMES).collect()}
     shapes = {r[0]: r[1] for r in gates.outcome_counts(o.polygons, "outcome", vocab.POLYGON_OUTCOMES).collect()}
-    rows, shapes_n, features = lion.count(), freq.count(), o.features.count()
+    rows, shapes_n = lion.count(), freq.count()
+    if "is_split" in o.features.columns:
+        features, split_faces, area_splits = o.features.agg(F.count("*"), F.count_distinct(F.when(F.col("is_split"), F.col("block_face_id"))), F.count_distinct(F.when(F.col("is_area_split"), F.col("block_face_id")))).first()
+        multi = P.multi_geometry(lion).count()
+    else:
+        features = split_faces = area_splits = multi = 0
     errors = P.schema_errors(lion, freq)
     recon = {"sides": (2 * rows, sum(outcomes.values())), "source_rows": (rows, o.sides.select("source_row").distinct().count()), "polygons": (shapes_n, sum(shapes.values()))}
     fatal = sum(outcomes[k] for k in vocab.FATAL_OUTCOMES) + shapes["unused_valid"] + shapes["invalid"] + len(errors)
     reconciled = all(a == b for a, b in recon.values())
-    return {"outcomes": outcomes, "frequency_outcomes": shapes, "output_features": features, "global_errors": errors, "reconciliation": {k: {"expected": a, "classified": b, "difference": a - b, "passed": a == b} for k, (a, b) in recon.items()}, "fatal": fatal, "passed": reconciled and fatal == 0 and features > 0}
+    return {"outcomes": outcomes, "frequency_outcomes": shapes, "output_features": features, "split_faces": split_faces, "borough_split_faces": area_splits, "multi_geometry_segments": multi, "global_errors": errors, "reconciliation": {k: {"expected": a, "classified": b, "difference": a - b, "passed": a == b} for k, (a, b) in recon.items()}, "fatal": fatal, "passed": reconciled and fatal == 0 and features > 0}

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidetrace import vocab
 from sidetrace.functions import geo as G
 from sidetrace.operators import kernels as K
+from sidetrace.operators import relate as R
 
 LINES = "array<array<struct<x:double,y:double>>>"
 _HALF = math.pi * 6378137.0
@@ -126,11 +127,22 @@ def tms_row(z: Column, y: Column) -> Column:
 
 
 def size_metrics(df: DataFrame, group: str, size: str) -> DataFrame:
-    """Count, sum, maximum and nearest-rank 95th percentile by group and over all (group ALL)."""
-    view = df.select(F.col(group).alias("g"), F.col(size).alias("s"))
-    return view.sparkSession.sql(
-        f"SELECT coalesce(cast(g AS string), 'ALL') AS `{group}`, count(*) AS n, sum(s) AS total, max(s) AS largest, percentile_disc(0.95) WITHIN GROUP (ORDER BY s) AS p95 FROM {{view}} GROUP BY GROUPING SETS ((g), ())", view=view
-    ).withColumn("p95", F.col("p95").cast("long"))
+    """Count, sum, maximum and nearest-rank 95th percentile by group and over all (group ALL).
+
+    Sizes are counted first, so what is ranked by group is distinct sizes, not rows.
+    """
+    counts = df.groupBy(F.col(group).cast("string").alias(group), F.col(size).alias("s")).agg(F.count("*").alias("c"))
+    both = counts.union(counts.groupBy(F.lit("ALL"), "s").agg(F.sum("c")))
+    w = Window.partitionBy(group)
+    ranked = both.select("*", F.sum("c").over(w.orderBy("s")).alias("upto"), F.sum("c").over(w).alias("n"))
+    found = ranked.groupBy(group).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("c")).alias("total"), F.max("s").alias("largest"), F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(0.95).cast("decimal(3,2)")), F.col("s"))).alias("p95"))
+    return found.select(group, "n", "total", "largest", F.col("p95").cast("long").alias("p95"))
+
+
+def zoom_coverage(features: DataFrame, tiled: DataFrame) -> DataFrame:
+    """Rows (z, n_features, n_missing): how many features the tiles of each zoom hold, and how many they lack."""
+    every = features.select("feature_id").distinct().count()
+    return R.distinct_counts(tiled, "z", "feature_id").select("z", F.col("n").alias("n_features"), (F.lit(every) - F.col("n")).alias("n_missing"))
 
 
 def lost_at_max_zoom(features: DataFrame, tiled: DataFrame, zoom: int = vocab.MAX_ZOOM) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sidetrace import vocab
+from sidetrace.functions import geo as G
+from sidetrace.operators import relate as R
+from sidetrace.operators import store
 
 
 class BadRequest(ValueError):
@@ -51,22 +54,27 @@ def streets(faces: DataFrame, schedules: DataFrame, day: str, types: str | tuple
     """
     day, types, box = check_day(day), check_types(types), check_bounds(box)
     wanted = schedules.where(F.col("collection_type").isin(*types))
-    days = wanted.groupBy("block_face_id", "collection_type").agg(F.array_sort(F.collect_set("weekday")).alias("weekdays")).where(F.array_contains("weekdays", day))
+    days = store.day_lists(wanted).where(F.array_contains("weekdays", day))
     if box:
         west, south, east, north = box
-        faces = faces.where((F.col("max_x") >= west) & (F.col("min_x") <= east) & (F.col("max_y") >= south) & (F.col("min_y") <= north))
+        faces = faces.where(G.intersects(None, west, south, east, north))
     found = days.join(faces, "block_face_id")
-    if cap is not None and found.limit(cap + 1).count() > cap:
+    if cap is not None and R.over_cap(found, cap):
         raise TooMany(f"more than {cap} rows")
     return found
 
 
+def collects_on(day_list: Column, day: str) -> Column:
+    """Whether a comma-separated list of days, as tiles carry it, has the day; null and empty lists have none."""
+    return F.array_contains(F.split(F.coalesce(day_list, F.lit("")), ","), check_day(day))
+
+
 def health(schedules: DataFrame, states: DataFrame, unknown: DataFrame) -> DataFrame:
     """Rows (section, name, n): schedule rows by type, states by state, unknown faces by reason; known names are zero-filled."""
     spark = schedules.sparkSession
     every = spark.createDataFrame([("type", t) for t in vocab.TYPES] + [("state", s) for s in vocab.STATES], "section string, name string")
     parts = [(schedules, "type", "collection_type"), (states, "state", "state"), (unknown, "reason", "reason_code")]
-    counts = [df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(s).alias("section"), "name", "n") for df, s, c in parts]
+    counts = [R.counts_by(df, c, "name").select(F.lit(s).alias("section"), "name", "n") for df, s, c in parts]
     return every.join(counts[0].union(counts[1]).union(counts[2]), ["section", "name"], "full_outer").select("section", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -21,7 +21,6 @@ TYPE_FIELDS = {t: f"FREQ_{t}" for t in TYPES}
 EXPLICIT, DERIVED, BLANK, NO_SERVICE = "SOURCE_EXPLICIT", "POLICY_DERIVED", "UNKNOWN_SOURCE_BLANK", "NO_SERVICE"
 STATES = (EXPLICIT, DERIVED, BLANK, NO_SERVICE)
 ORGANICS_RULE = "dsny-organics-on-recycling-day-v1"
-ORGANICS_PROVENANCE = "NYC DSNY citywide curbside compost collection occurs on the recycling day"
 POLICY_REVIEWED, POLICY_WARN_DAYS, POLICY_BLOCK_DAYS = "2026-08-21", 180, 365
 
 # Boroughs by code, and the codes of segments and features in scope.

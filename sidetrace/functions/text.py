@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sidetrace import vocab
 
+# Texts that stand for no identifier.
 _NOTHING = ("", "0", "0.0", "NONE", "NULL", "NAN", "<NA>")
 
 
@@ -139,5 +140,16 @@ def to_wkt(lines: Column) -> Column:
     return F.when(F.size(lines) == 1, F.concat(F.lit("LINESTRING "), body[0])).when(F.size(lines) > 1, F.concat(F.lit("MULTILINESTRING ("), F.array_join(body, ","), F.lit(")")))
 
 
+def json_whole(v: Column, name: str) -> Column:
+    """A property of a JSON object if it is a whole number, else null."""
+    found = F.get_json_object(v, f"$.{name}")
+    return F.when(found.rlike("^-?[0-9]+$"), found.try_cast("long"))
+
+
+def json_has(v: Column, name: str) -> Column:
+    """Whether a JSON object has a property that isn't null."""
+    return F.get_json_object(v, f"$.{name}").isNotNull()
+
+
 def html_escape(v: Column) -> Column:
     return reduce(lambda t, ab: F.replace(t, F.lit(ab[0]), F.lit(ab[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")), v)

@@ -46,6 +46,13 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, pad: float = 0.0) -
     return a.join(b, (a["_cx"] == b["_cx"]) & (a["_cy"] == b["_cy"]) & meet & once).drop("_cx", "_cy", "l__x0", "l__y0", "r__x0", "r__y0")
 
 
+def box_join_with_tolerance(left: DataFrame, right: DataFrame, cell: float, pad: float, key: str) -> DataFrame:
+    """box_join, and for rows of left (named by key) that it leaves without a partner the padded one; used_tolerance tells which."""
+    exact = box_join(left, right, cell)
+    rest = left.join(exact.select(F.col(f"l_{key}").alias(key)).distinct(), key, "left_anti").select(*left.columns)
+    return exact.withColumn("used_tolerance", F.lit(False)).unionByName(box_join(rest, right, max(cell, 2 * pad), pad).withColumn("used_tolerance", F.lit(True)))
+
+
 def merged_intervals(df: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Union of closed intervals by key as disjoint ones, by a running maximum: rows (keys, lo, hi)."""
     from pyspark.sql import Window

@@ -78,7 +78,7 @@ def schedule_columns(schedules: DataFrame) -> DataFrame:
     order = F.array(*(F.lit(d) for d in vocab.DAYS))
     days = lambda t: F.collect_set(F.when(F.col("collection_type") == t, F.col("weekday")))
     g = schedules.groupBy("block_face_id").agg(*(days(t).alias(t) for t in vocab.TYPES), F.min("source").alias("s0"), F.max("source").alias("s1"), F.min("retrieved_at").alias("t0"), F.max("retrieved_at").alias("t1"))
-    lists = [F.array_join(F.filter(order, lambda d, t=t: F.array_contains(F.col(t), d)), ",").alias(f"{t.lower()}_days") for t in vocab.TYPES]
+    lists = [F.array_join(F.array_intersect(order, F.col(t)), ",").alias(f"{t.lower()}_days") for t in vocab.TYPES]
     return g.select("block_face_id", *lists, F.col("s0").alias("source"), F.col("t0").alias("retrieved_at"), (F.col("s0").eqNullSafe(F.col("s1")) & F.col("t0").eqNullSafe(F.col("t1"))).alias("single_source"))
 
 

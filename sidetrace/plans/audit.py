@@ -43,11 +43,11 @@ def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    """WITH a AS (SELECT o_orderstatus AS metric, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderstatus AS metric, CAST(count(*) AS BIGINT) AS n FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderkey % 4 = 0) GROUP BY 1)
+    """WITH a AS (SELECT o_orderstatus AS metric, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1), b AS (SELECT o_orderstatus AS metric, CAST(count(*) AS BIGINT) AS n FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW') GROUP BY 1)
     SELECT b.metric, a.n AS previous, b.n AS current, CASE WHEN b.n < 1000 THEN 'below_floor' WHEN b.n * 10 < a.n * 9 THEN 'dropped' ELSE 'ok' END AS verdict FROM b JOIN a USING (metric)"""
 )
 def q_regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     count = lambda df: df.groupBy(F.col("o_orderstatus").alias("metric")).agg(F.count("*").alias("n"))
     floors = {s: 1000 for s in ("O", "F", "P")}
-    return gates.regression(count(o), count(o.where("NOT (o_orderstatus = 'P' AND o_orderkey % 4 = 0)")), floors)
+    return gates.regression(count(o), count(o.where("NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')")), floors)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sidetrace import vocab
 from sidetrace.functions import text as T
+from sidetrace.operators import gates, prepare, recovery
+from sidetrace.plans import serve
 from sidetrace.plans.base import Registry, days_sql, raw, table
 
 R = Registry()
@@ -92,39 +94,58 @@ def q_parse_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'true' ELSE 'false' END AS is_integer, CASE WHEN json_exists(props, '$.absent') THEN 'true' ELSE 'false' END AS has_absent FROM events")
 def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select("event_id", k.try_cast("long").alias("k"), k.rlike("^-?[0-9]+$").cast("string").alias("is_integer"), F.get_json_object("props", "$.absent").isNotNull().cast("string").alias("has_absent"))
+    return table(spark, sf_dir, "events").select("event_id", T.json_whole(F.col("props"), "k").alias("k"), T.json_whole(F.col("props"), "k").isNotNull().cast("string").alias("is_integer"), T.json_has(F.col("props"), "absent").cast("string").alias("has_absent"))
 
 
-_SCOPE = "CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'out_of_scope' WHEN o_orderstatus = 'P' THEN 'out_of_scope' WHEN o_orderkey % 97 = 0 THEN 'invalid' WHEN o_custkey % 11 = 0 THEN 'non_addressable' ELSE 'matched' END"
+_SCOPE = "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' OR o_orderstatus = 'P' OR o_totalprice > 250000 THEN 'out_of_scope' WHEN o_totalprice < 20000 THEN 'invalid' ELSE 'matched' END"
 
 
 @R.add(f"SELECT v.outcome, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (VALUES {', '.join(f'({chr(39)}{o}{chr(39)})' for o in vocab.SIDE_OUTCOMES)}) v(outcome) LEFT JOIN (SELECT {_SCOPE} AS outcome, count(*) AS n FROM orders GROUP BY 1) c ON v.outcome = c.outcome")
 def q_scope_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "orders").select(F.expr(_SCOPE).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
-    every = spark.createDataFrame([(o,) for o in vocab.SIDE_OUTCOMES], "outcome string")
-    return every.join(counts, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).alias("n"))
+    """Orders as source rows: types and states out of scope, vehicles only, missing segment ids; the rest goes on."""
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "B").when(F.col("o_orderpriority") == "2-HIGH", " g ").when(F.col("o_orderpriority") == "3-MEDIUM", "u").when(F.col("o_orderpriority") == "5-LOW", "E").otherwise("R")
+    fixed = {c: F.lit("") for c in prepare.LINE_FIELDS} | {"SegmentTyp": kind, "FeatureTyp": F.lit(0.0), "Status": F.when(F.col("o_orderstatus") == "P", "3").otherwise("2.0"), "NonPed": F.when(F.col("o_totalprice") > 250000, "v"), "SegmentID": F.when(F.col("o_totalprice") < 20000, " ").otherwise(F.col("o_custkey").cast("string"))}
+    point = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_row"), F.array(F.array(point, point)).alias("lines"), *(v.alias(c) for c, v in fixed.items()))
+    found = prepare.row_outcomes(rows).select(F.coalesce("outcome", F.lit("matched")).alias("outcome"))
+    return gates.outcome_counts(found, "outcome", vocab.SIDE_OUTCOMES)
 
 
-@R.add("SELECT c_custkey FROM customer WHERE list_contains(string_split(coalesce(CASE c_custkey % 4 WHEN 0 THEN 'MON,THU' WHEN 1 THEN 'TUE' WHEN 2 THEN NULL ELSE 'THU' END, ''), ','), 'THU')")
+@R.add("SELECT c_custkey FROM customer WHERE list_contains(string_split(coalesce(CASE c_mktsegment WHEN 'BUILDING' THEN 'MON,THU' WHEN 'MACHINERY' THEN 'TUE' WHEN 'FURNITURE' THEN NULL ELSE 'THU' END, ''), ','), 'THU')")
 def q_day_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey") % 4
-    day_list = F.when(k == 0, "MON,THU").when(k == 1, "TUE").when(k == 3, "THU")
-    return table(spark, sf_dir, "customer").where(F.array_contains(F.split(F.coalesce(day_list, F.lit("")), ","), "THU")).select("c_custkey")
+    k = F.col("c_mktsegment")
+    day_list = F.when(k == "BUILDING", "MON,THU").when(k == "MACHINERY", "TUE").when(k != "FURNITURE", "THU")
+    return table(spark, sf_dir, "customer").where(serve.collects_on(day_list, "thu")).select("c_custkey")
 
 
-@R.add("SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS BIGINT) AS age_days, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 365 THEN 'block' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 180 THEN 'warn' ELSE 'ok' END AS verdict FROM orders")
+@R.add("SELECT o_orderkey, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 365 THEN 'block' WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 180 THEN 'warn' ELSE 'ok' END AS verdict FROM orders")
 def q_policy_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age = F.datediff(F.lit("1999-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("long")
-    return table(spark, sf_dir, "orders").select("o_orderkey", age.alias("age_days"), F.when(age > vocab.POLICY_BLOCK_DAYS, "block").when(age > vocab.POLICY_WARN_DAYS, "warn").otherwise("ok").alias("verdict"))
+    """Each order's date as the day of a policy's review."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", gates.policy_age(F.lit("1999-01-01").cast("date"), F.col("o_orderdate").cast("date")).alias("verdict"))
 
 
-@R.add("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_linestatus = 'O' AND l_quantity >= least(20.0, 0.1 * l_quantity + 5) AND l_tax >= l_discount AND coalesce(nullif(l_discount, 0.0), 1.0) <= 0.05 AND l_quantity + 5 >= 1.5 * l_linenumber GROUP BY ALL")
+_POINT = {"component_length_feet": "l_extendedprice / 100", "best_distance_feet": "l_quantity * 2", "runner_up_distance_feet": "l_quantity * 2 + l_discount * 1000", "projection_from_start_feet": "l_extendedprice / 1000 + 5", "projection_from_end_feet": "l_tax * 1000"}
+
+
+@R.add("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _POINT.items()) + """ FROM lineitem) WHERE l_returnflag <> 'R' AND l_linestatus = 'O' AND best_distance_feet <= 75
+AND projection_from_start_feet >= least(20.0, component_length_feet * 0.1) AND projection_from_end_feet >= least(20.0, component_length_feet * 0.1) AND runner_up_distance_feet - best_distance_feet >= 25 AND runner_up_distance_feet >= best_distance_feet * 1.5 AND l_linenumber <= 3 GROUP BY 1""")
 def q_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conjunction with relative margins; missing evidence fails closed."""
-    q = F.col("l_quantity")
-    gate = F.col("l_returnflag").isin("A", "N") & (F.col("l_linestatus") == "O") & (q >= F.least(F.lit(20.0), 0.1 * q + 5)) & (F.col("l_tax") >= F.col("l_discount")) & (F.coalesce(F.nullif(F.col("l_discount"), F.lit(0.0)), F.lit(1.0)) <= 0.05) & (q + 5 >= 1.5 * F.col("l_linenumber"))
-    return table(spark, sf_dir, "lineitem").where(F.coalesce(gate, F.lit(False))).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    """Address-point evidence made of lines; missing evidence (a null flag) fails closed."""
+    flags = dict.fromkeys(recovery.POINT_FLAGS, F.lit(True)) | {recovery.POINT_FLAGS[0]: F.when(F.col("l_returnflag") != "R", True), recovery.POINT_FLAGS[3]: F.col("l_linestatus") == "O"}
+    rows = table(spark, sf_dir, "lineitem").selectExpr("*", *(f"{v} AS {k}" for k, v in _POINT.items())).select("*", *(v.alias(k) for k, v in flags.items()), F.when(F.col("l_linenumber") <= 3, 0).otherwise(1).alias("contradictory_point_count"))
+    return rows.where(recovery.address_point_passes()).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+_GAP = {"endpoint_distance_feet": "l_discount * 5", "hausdorff_feet": "l_tax * 5", "length_ratio": "1.0 + (l_quantity - 25.0) / 1024", "projected_span_ratio": "1.0", "current_coverage_ratio": "1.0 - l_tax / 5", "uncovered_length_feet": "l_quantity / 10", "cscl_exact_coverage_ratio": "1.0"}
+
+
+@R.add("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _GAP.items()) + """ FROM lineitem) WHERE l_returnflag <> 'R' AND l_linestatus <> 'F' AND endpoint_distance_feet <= 0.25 AND hausdorff_feet <= 0.25 AND length_ratio BETWEEN 0.99 AND 1.01
+AND current_coverage_ratio >= 0.99 AND uncovered_length_feet <= 3 GROUP BY 1""")
+def q_gap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of tiny gaps made of lines."""
+    flags = dict.fromkeys(recovery.GAP_FLAGS, F.lit(True)) | {recovery.GAP_FLAGS[1]: F.when(F.col("l_returnflag") != "R", True), "different_signature_within_3_feet": F.col("l_linestatus") == "F", "schedule_signature_count": F.lit(1)}
+    rows = table(spark, sf_dir, "lineitem").selectExpr("*", *(f"{v} AS {k}" for k, v in _GAP.items())).select("*", *(v.alias(k) for k, v in flags.items()))
+    return rows.where(recovery.micro_gap_passes()).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 _CUSTOMER_STATES = f"SELECT c_custkey, unnest([{{'kind': 'REFUSE', 'state': rf_state}}, {{'kind': 'RECYCLING', 'state': ry_state}}, {{'kind': 'ORGANICS', 'state': og_state}}], recursive := true) FROM ({_STATES_SQL})"
@@ -150,14 +171,13 @@ def q_state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("c_custkey", F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_id"))
 
 
-@R.add(f"SELECT 'type' AS section, kind AS name, CAST(count(*) AS BIGINT) AS n FROM ({_CUSTOMER_STATES}) GROUP BY kind UNION ALL SELECT 'state', state, CAST(count(*) AS BIGINT) FROM ({_CUSTOMER_STATES}) GROUP BY state UNION ALL SELECT 'reason', 'no_schedule', CAST(count(*) AS BIGINT) FROM ({_STATES_SQL}) WHERE rf IS NULL AND ry IS NULL AND od IS NULL")
+@R.add(f"""SELECT section, name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'type' AS section, kind AS name, 1 AS n FROM ({_CUSTOMER_STATES}) UNION ALL SELECT 'state', state, 1 FROM ({_CUSTOMER_STATES}) UNION ALL SELECT 'reason', 'no_schedule', 1 FROM ({_STATES_SQL}) WHERE rf IS NULL AND ry IS NULL AND od IS NULL
+UNION ALL SELECT 'type', unnest(['REFUSE', 'RECYCLING', 'ORGANICS', 'BULK']), 0 UNION ALL SELECT 'state', unnest(['SOURCE_EXPLICIT', 'POLICY_DERIVED', 'UNKNOWN_SOURCE_BLANK', 'NO_SERVICE']), 0) GROUP BY section, name""")
 def q_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _states(spark, sf_dir)
-    s = wide.select(F.explode(F.array(*(F.struct(F.lit(t).alias("kind"), F.col(t)["state"].alias("state")) for t in ("REFUSE", "RECYCLING", "ORGANICS")))).alias("s")).select("s.*")
-    by = s.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("type").alias("section"), F.col("kind").alias("name"), "n")
-    states = s.groupBy("state").agg(F.count("*").alias("n")).select(F.lit("state").alias("section"), F.col("state").alias("name"), "n")
-    empty = wide.where((F.size("REFUSE.days") == 0) & (F.size("RECYCLING.days") == 0) & (F.size("ORGANICS.days") == 0)).agg(F.count("*").alias("n")).select(F.lit("reason").alias("section"), F.lit("no_schedule").alias("name"), "n")
-    return by.union(states).union(empty)
+    s = wide.select(F.explode(F.array(*(F.struct(F.lit(t).alias("collection_type"), F.col(t)["state"].alias("state")) for t in ("REFUSE", "RECYCLING", "ORGANICS")))).alias("s")).select("s.*")
+    empty = wide.where((F.size("REFUSE.days") == 0) & (F.size("RECYCLING.days") == 0) & (F.size("ORGANICS.days") == 0)).select(F.lit("no_schedule").alias("reason_code"))
+    return serve.health(s, s, empty)
 
 
 #: Synthetic longitude and latitude of a customer, on exact eighths so both engines agree.
@@ -172,11 +192,9 @@ WHERE s.day = 'THU' AND s.kind IN ('REFUSE', 'RECYCLING') AND lon + 0.01 >= -74.
 @R.add(_STREETS_SQL)
 def q_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets with a collection of the wanted types on a day inside a box, with all days of that type."""
-    from sidetrace.plans.serve import streets
-
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.expr(LON.format(k="c_custkey")).alias("lon"), F.expr(LAT.format(k="c_custkey")).alias("lat"), T.days(F.expr(raw("c_custkey"))).alias("rf"), T.days(F.expr(raw("(c_custkey div 8)"))).alias("ry"))
     faces = c.select(F.col("c_custkey").alias("block_face_id"), F.col("c_name").alias("street_name"), F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), (F.col("lon") + 0.01).alias("max_x"), (F.col("lat") + 0.01).alias("max_y"))
     kinds = F.array(F.struct(F.lit("REFUSE").alias("kind"), F.col("rf").alias("d")), F.struct(F.lit("RECYCLING").alias("kind"), F.col("ry").alias("d")))
     schedules = c.select(F.col("c_custkey").alias("block_face_id"), F.explode(kinds).alias("s")).select("block_face_id", F.col("s.kind").alias("collection_type"), F.explode("s.d").alias("weekday"))
-    found = streets(faces, schedules, "THU", ("REFUSE", "RECYCLING"), (-74.25, 40.5, -73.75, 40.875))
+    found = serve.streets(faces, schedules, "THU", ("REFUSE", "RECYCLING"), (-74.25, 40.5, -73.75, 40.875))
     return found.select(F.col("block_face_id").alias("face_id"), F.col("street_name").alias("street"), F.col("collection_type").alias("kind"), F.array_join("weekdays", ",").alias("day_list"))

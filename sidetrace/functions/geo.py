@@ -76,6 +76,22 @@ def project(lines: Column, to) -> Column:
     return F.transform(lines, lambda line: F.transform(line, point))
 
 
+def project_polygons(polys: Column, to) -> Column:
+    """project for polygons (polygon, ring, point)."""
+    return F.transform(polys, lambda rings: project(rings, to))
+
+
+def is_lonlat(points: Column) -> Column:
+    """Whether points all lie in the range of longitude and latitude; plane feet of any place in the zone don't."""
+    return F.forall(points, lambda p: (F.abs(p["x"]) <= 180) & (F.abs(p["y"]) <= 90))
+
+
+def longest(lines: Column) -> Column:
+    """The longest line, the first of equals."""
+    pairs = F.transform(lines, lambda line, i: F.struct(length(F.array(line)).alias("l"), (-i).alias("i"), line.alias("line")))
+    return F.array_max(F.transform(pairs, lambda p: F.struct(p["l"], p["i"], p["line"])))["line"]
+
+
 def length(lines: Column) -> Column:
     """Total length of all lines."""
     steps = lambda line: F.zip_with(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))

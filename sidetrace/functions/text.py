@@ -151,5 +151,13 @@ def json_has(v: Column, name: str) -> Column:
     return F.get_json_object(v, f"$.{name}").isNotNull()
 
 
+def format_bytes(v: Column) -> Column:
+    """A size for people: whole bytes, else one decimal of KB, MB, GB or TB of 1024."""
+    out = F.concat(v.cast("long").cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(v >= 1024**power, F.concat(F.format_number(v / 1024**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def html_escape(v: Column) -> Column:
     return reduce(lambda t, ab: F.replace(t, F.lit(ab[0]), F.lit(ab[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")), v)

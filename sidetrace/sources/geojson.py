@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sidetrace.functions import geo as G
+from sidetrace.operators.ordering import numbered
+
 POINT_PAIR = T.ArrayType(T.DoubleType())
 
 
@@ -26,19 +29,54 @@ def _line(points):
 
 def read_lines(spark: SparkSession, path: str, properties: tuple[str, ...], limit: int | None = None) -> DataFrame:
     """Lines with the named properties as text, source_row from 0 and lines; other geometries have none. An empty file raises."""
-    df = _features(spark, path, properties, "source_row")
-    one, many = F.from_json("_json", "array<array<double>>"), F.from_json("_json", "array<array<array<double>>>")
-    lines = F.when(F.col("_kind") == "LineString", F.array(_line(one))).when(F.col("_kind") == "MultiLineString", F.transform(many, _line))
-    return guarded(df.withColumn("lines", lines).drop("_kind", "_json"), "source_row", limit)
+    return guarded(geometry(_features(spark, path, properties, "source_row"), "lines"), "source_row", limit)
 
 
 def read_polygons(spark: SparkSession, path: str, properties: tuple[str, ...], limit: int | None = None) -> DataFrame:
     """Polygons with the named properties as text, frequency_row from 0 and polys, without the closing point of a ring."""
-    df = _features(spark, path, properties, "frequency_row")
-    one, many = F.from_json("_json", "array<array<array<double>>>"), F.from_json("_json", "array<array<array<array<double>>>>")
-    ring = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), _line(F.slice(r, F.lit(1), F.size(r) - 1))).otherwise(_line(r))
-    polys = F.when(F.col("_kind") == "Polygon", F.array(F.transform(one, ring))).when(F.col("_kind") == "MultiPolygon", F.transform(many, lambda p: F.transform(p, ring)))
-    return guarded(df.withColumn("polys", polys).drop("_kind", "_json"), "frequency_row", limit)
+    return guarded(geometry(_features(spark, path, properties, "frequency_row"), "polys"), "frequency_row", limit)
+
+
+def read_line_features(spark: SparkSession, path: str, properties: tuple[str, ...], kind: str = "lines") -> DataFrame:
+    """Features one a line (newline-delimited GeoJSON), which splits among tasks; kind is lines or polys. Rows are numbered in file order.
+
+    A feature collection in one piece is read by one task as one row (read_lines, read_polygons); turn a large one into this
+    form, or into Parquet, first.
+    """
+    schema = T.StructType([f for f in _schema(properties)["features"].dataType.elementType])
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("_at", F.monotonically_increasing_id())
+    row = "source_row" if kind == "lines" else "frequency_row"
+    flat = rows.select("_at", "properties.*", F.col("geometry.type").alias("_kind"), F.col("geometry.coordinates").alias("_json"))
+    return guarded(numbered(geometry(flat, kind), "_at", row).drop("_at"), row, None)
+
+
+def geometry(df: DataFrame, kind: str) -> DataFrame:
+    """Turns _kind and _json into lines or polys."""
+    if kind == "lines":
+        one, many = F.from_json("_json", "array<array<double>>"), F.from_json("_json", "array<array<array<double>>>")
+        shape = F.when(F.col("_kind") == "LineString", F.array(_line(one))).when(F.col("_kind") == "MultiLineString", F.transform(many, _line))
+    else:
+        one, many = F.from_json("_json", "array<array<array<double>>>"), F.from_json("_json", "array<array<array<array<double>>>>")
+        ring = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), _line(F.slice(r, F.lit(1), F.size(r) - 1))).otherwise(_line(r))
+        shape = F.when(F.col("_kind") == "Polygon", F.array(F.transform(one, ring))).when(F.col("_kind") == "MultiPolygon", F.transform(many, lambda p: F.transform(p, ring)))
+    return df.withColumn(kind, shape).drop("_kind", "_json")
+
+
+def to_plane(df: DataFrame, kind: str) -> DataFrame:
+    """Shapes in longitude and latitude turned into state plane feet; those in feet stay. One input must be all of one sort."""
+    points = F.flatten(kind) if kind == "lines" else F.flatten(F.flatten(kind))
+    r = df.where(F.col(kind).isNotNull()).agg(F.bool_and(G.is_lonlat(points)).alias("all"), F.bool_or(G.is_lonlat(points)).alias("some")).first()
+    if r["all"] is None or not r["some"]:
+        return df
+    if not r["all"]:
+        raise ValueError("some shapes are in degrees and some aren't")
+    return df.withColumn(kind, (G.project if kind == "lines" else G.project_polygons)(F.col(kind), G.lonlat_to_plane))
+
+
+def schema_of(spark: SparkSession, path: str, n: int = 3) -> dict[str, str]:
+    """Property names and types, as the first n features show them."""
+    head = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f")).limit(n)
+    return {f.name: f.dataType.simpleString() for f in head.select("f.properties.*").schema}
 
 
 def guarded(df: DataFrame, row: str, limit: int | None) -> DataFrame:

@@ -108,6 +108,39 @@ def keyed_subset(layer: str, field: str, keys: list[str], fetch: Fetch = http) -
     return [f for k in wanted for f in found.get(k, [])]
 
 
+def keyed_proof(layer: str, field: str, keys: list[str], features: list[dict], fetch: Fetch = http) -> None:
+    """Raises unless the features are just those whose ids the service lists for the keys, each once."""
+    name, wanted = id_field(_ask(fetch, layer, {})), set()
+    for part in batches(sorted(set(keys)), KEYED_BATCH):
+        found = _ask(fetch, f"{layer}/query", {"where": f"{field} IN ({','.join(part)})", "returnIdsOnly": "true"}, True).get("objectIds")
+        wanted |= set(map(str, found or []))
+    got = [property_of(f, name) for f in features]
+    if len(set(got)) != len(got) or set(got) != wanted:
+        raise SourceError(f"ids are missing ({sorted(wanted - set(got))[:10]}), too many ({sorted(set(got) - wanted)[:10]}) or repeated")
+
+
+#: What is kept of a layer's description, by our names.
+REMOTE_KEYS = {"id": "id", "name": "name", "type": "type", "geometry_type": "geometryType", "object_id_field": "objectIdField", "max_record_count": "maxRecordCount", "current_version": "currentVersion", "last_edit_ms": "lastEditDate", "schema_last_edit_ms": "schemaLastEditDate"}
+
+
+def remote_metadata(layer: str, fetch: Fetch = http) -> dict:
+    """What a layer says of itself, nine values, to be compared before and after a read."""
+    meta = _ask(fetch, layer, {})
+    flat = {**meta, **(meta.get("editingInfo") or {})}
+    return {ours: flat.get(theirs) for ours, theirs in REMOTE_KEYS.items()}
+
+
+def sample(layer: str, output: str, n: int = 100, large: bool = False, fetch: Fetch = http) -> int:
+    """Writes the first n features of a layer; more than 100 have to be asked for."""
+    if n <= 0 or (n > 100 and not large):
+        raise SourceError("a sample has 1 to 100 features unless a large one is asked for")
+    page = _ask(fetch, f"{layer}/query", {"where": "1=1", "outFields": "*", "returnGeometry": "true", "outSR": 4326, "resultRecordCount": n, "f": "geojson"}).get("features") or []
+    with open(f"{output}.part", "w", encoding="utf-8") as f:
+        json.dump({"type": "FeatureCollection", "features": page[:n]}, f, separators=(",", ":"))
+    os.replace(f"{output}.part", output)
+    return len(page[:n])
+
+
 def download(url: str, output: str, open_url: Callable = urllib.request.urlopen) -> int:
     """Streams a file to disk and checks its announced size; it appears whole or not at all."""
     size = 0

@@ -1,50 +1,59 @@
-"""Command line: python -m sidetrace build|serve|activate|health ..."""
+"""Command line: python -m sidetrace build|refresh|validate|status|promote|serve|activate|health ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sidetrace import vocab
-from sidetrace.operators import prepare, release, sides, sinks, store, tiles, validate
+from sidetrace.operators import prepare, refresh, release, validate
 from sidetrace.plans import serve
 from sidetrace.session import session
 from sidetrace.sources import geojson
 
 
+def sources(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """Lines and polygons in state plane feet; shapes in longitude and latitude are projected."""
+    lion = geojson.read_lines(spark, a.lines, prepare.LINE_FIELDS + prepare.OPTIONAL_FIELDS, a.limit)
+    freq = geojson.read_polygons(spark, a.polygons, ("OBJECTID", *vocab.TYPE_FIELDS.values(), "SCHEDULECODE", "SECTION", "DISTRICT"))
+    return geojson.to_plane(lion, "lines").checkpoint(), geojson.to_plane(freq, "polys").checkpoint()
+
+
 def build(a: argparse.Namespace) -> int:
+    """A release from two files. A pilot has no floors to reach; a refresh has."""
     spark = session()
     if a.checkpoints:
         spark.sparkContext.setCheckpointDir(a.checkpoints)
-    lion = geojson.read_lines(spark, a.lines, prepare.LINE_FIELDS + prepare.OPTIONAL_FIELDS, a.limit)
-    freq = geojson.read_polygons(spark, a.polygons, ("OBJECTID", *vocab.TYPE_FIELDS.values(), "SCHEDULECODE", "SECTION", "DISTRICT"))
-    o = sides.overlay(lion, freq)
-    audit = sides.audit(lion, freq, o)
-    print(release.canonical_json(audit), end="")
-    if not audit["passed"] or validate.audit(audit):
-        return 1
-    t = store.tables(o.features, o.unknown, a.polygons, a.retrieved_at)
-    broken = validate.features(o.features).union(store.violations(t)).limit(10).collect()
-    if broken:
-        print(json.dumps([r.asDict() for r in broken]))
+    lion, freq = sources(spark, a)
+    try:
+        m = refresh.run(spark, lion, freq, a.root, a.version, a.retrieved_at, a.polygons, None if a.what == "refresh" else {}, a.as_of)
+    except release.ReleaseError as e:
+        print(json.dumps({"error": str(e)}))
         return 1
-    wide = t["faces_wide"]
-    known = wide.select("feature_id", F.lit("faces").alias("layer"), "lines", F.create_map(*(x for c in wide.columns if c not in ("feature_id", "lines") for x in (F.lit(c), F.col(c)))).alias("props"))
-    built = tiles.build_tiles(known)
-    release.publish(a.root, a.version, {**t, "tiles": built, "audit_records": sinks.audit_records(o.sides)})
+    t = release.load(spark, a.root, check=False)
+    print(t["audit"].first()["audit"], end="")
+    print(release.canonical_json({"version": m["version"], "counts": m["counts"]}), end="")
     return 0
 
 
 def main() -> int:
     p = argparse.ArgumentParser(prog="sidetrace")
     sub = p.add_subparsers(dest="what", required=True)
-    b = sub.add_parser("build")
-    for name in ("--lines", "--polygons", "--root", "--version", "--retrieved-at"):
-        b.add_argument(name, required=True)
-    b.add_argument("--limit", type=int)
-    b.add_argument("--checkpoints")
+    for what in ("build", "refresh"):
+        b = sub.add_parser(what)
+        for name in ("--lines", "--polygons", "--root", "--retrieved-at"):
+            b.add_argument(name, required=True)
+        b.add_argument("--version")
+        b.add_argument("--limit", type=int)
+        b.add_argument("--checkpoints")
+        b.add_argument("--as-of", help="the day for the age of the policy")
+    for what in ("validate", "status"):
+        sub.add_parser(what).add_argument("--root", required=True)
+    pro = sub.add_parser("promote")
+    for name in ("--staging", "--root", "--version"):
+        pro.add_argument(name, required=True)
     s = sub.add_parser("serve")
     s.add_argument("--root", required=True)
     s.add_argument("--day", required=True)
@@ -56,8 +65,20 @@ def main() -> int:
     h = sub.add_parser("health")
     h.add_argument("--root", required=True)
     a = p.parse_args()
-    if a.what == "build":
+    if a.what in ("build", "refresh"):
         return build(a)
+    if a.what == "validate":
+        wrong = validate.bundle(session(), a.root)
+        print(json.dumps(wrong))
+        return int(bool(wrong))
+    if a.what == "status":
+        session()
+        m = release.read(a.root)
+        print(release.canonical_json({"version": m["version"], "history": m["history"], "counts": m["counts"], "checksums": release.Checksums().status(a.root, m, wait=True)}), end="")
+        return 0
+    if a.what == "promote":
+        release.promote(a.staging, a.root, a.version)
+        return 0
     if a.what == "activate":
         release.activate(a.root, a.version)
         return 0

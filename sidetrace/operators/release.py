@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidetrace import vocab
+from sidetrace.operators import digest as D
 
 
 class ReleaseError(RuntimeError):
@@ -123,6 +124,16 @@ def folder_digest(path: str) -> str:
     return hashlib.sha256("".join(f"{name}\0{digest}\n" for name, digest, _ in found).encode()).hexdigest()
 
 
+def rows_digest(tables: dict[str, DataFrame]) -> str:
+    """SHA-256 over the rows of tables, in no order: what a version made of content is named by."""
+    parts = []
+    for name, df in sorted(tables.items()):
+        rows = df.select(D.record_digest(*sorted(df.columns)).alias("d"))
+        r = D.aggregate_digest(rows, "d", "d").first()
+        parts.append(f"{name}\0{r['n']}\0{r['digest']}\n")
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
 @contextlib.contextmanager
 def locked(root: str) -> Iterator[Store]:
     store = Store(root)

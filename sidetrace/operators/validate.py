@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidetrace import vocab
 from sidetrace.functions import geo as G
 from sidetrace.operators import digest as D
+from sidetrace.operators import release, sinks, store
 from sidetrace.operators import tiles as T
 
 
@@ -52,6 +54,66 @@ def tiles(encoded: DataFrame, faces_wide: DataFrame, zooms: tuple[int, ...]) ->
     ])
 
 
+#: What a tile's feature says, by layer; the id stands beside. Fixed values.
+LAYER_KEYS = {"faces": ("street_name", "borough", "side", *(f"{t.lower()}_{k}" for k in ("days", "state") for t in vocab.TYPES)), "unknown": ("street_name", "borough", "side", "reason_code", "reason")}
+
+
+def tile_layers(encoded: DataFrame, layers: DataFrame, zooms: tuple[int, ...]) -> DataFrame:
+    """Decodes every tile against the features (feature_id, layer, props) it should hold: layers, their zooms, keys and values, and the unknown ones too."""
+    seen = T.decode_tiles(encoded).select("z", "layer", "feature_id", "props")
+    keys = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in LAYER_KEYS.items() for x in (F.lit(k), F.array(*(F.lit(c) for c in sorted(v)))))), F.col("layer")), F.array().cast("array<string>"))
+    wanted = layers.select("layer", "feature_id", D.canonical(F.array_sort(F.map_entries("props")).alias("p")).alias("want"))
+    got = seen.select("layer", "feature_id", D.canonical(F.array_sort(F.map_entries("props")).alias("p")).alias("got")).distinct()
+    unknown = layers.where("layer = 'unknown'").select("feature_id")
+    low = seen.where((F.col("layer") == "unknown") & (F.col("z") < vocab.UNKNOWN_ZOOM))
+    parts = [
+        seen.where(~F.col("layer").isin(*LAYER_KEYS)).select(F.lit("unknown_layer").alias("rule"), F.col("feature_id").alias("id")),
+        seen.where(F.array_sort(F.map_keys("props")) != keys).select(F.lit("layer_schema"), "feature_id"),
+        got.join(wanted, ["layer", "feature_id"], "left").where(~F.col("got").eqNullSafe(F.col("want"))).select(F.lit("value_differs"), "feature_id"),
+        low.select(F.lit("unknown_below_its_zoom"), "feature_id"),
+    ]
+    if max(zooms) >= vocab.UNKNOWN_ZOOM:
+        at_max = seen.where((F.col("z") == max(zooms)) & (F.col("layer") == "unknown")).select("feature_id").distinct()
+        parts.append(unknown.join(at_max, "feature_id", "left_anti").select(F.lit("unknown_lost_at_largest_zoom"), "feature_id"))
+    return _union([p.distinct() for p in parts])
+
+
+#: The tables of a whole release. Fixed values.
+BUNDLE = ("block_faces", "collection_schedules", "block_face_collection_states", "block_face_dsny_sources", "block_face_lion_components", "unknown_block_faces", "unknown_wide", "faces_wide", "tiles", "tile_metadata", "audit", "audit_records")
+
+
+def bundle(spark: SparkSession, root: str) -> list[str]:
+    """What is wrong with the current release as a whole: its tables, their files and row counts, its audit, metadata and counts, each told from the files alone."""
+    m = release.read(root)
+    wrong = [f"table {t} is missing" for t in BUNDLE if t not in m["artifacts"]] + [f"table {t} is unexpected" for t in m["artifacts"] if t not in BUNDLE]
+    if wrong:
+        return wrong
+    for name, a in m["artifacts"].items():
+        if release.folder_digest(f"{root.rstrip('/')}/{a['path']}") != a["sha256"]:
+            wrong.append(f"{name} doesn't match its digest")
+    if wrong:
+        return wrong
+    t = release.load(spark, root, check=False)
+    wrong += [f"{name} has another number of rows" for name, a in m["artifacts"].items() if t[name].count() != a["rows"]]
+    row = t["audit"].first()
+    doc = json.loads(row["audit"])
+    wrong += [f"audit: {x}" for x in audit(doc)]
+    if release.rows_digest({k: t[k] for k in BUNDLE[:6]}) != row["source_sha256"]:
+        wrong.append("the audit is of other tables")
+    try:
+        meta = sinks.read_metadata(t["tile_metadata"])
+    except sinks.MetadataError as e:
+        return [*wrong, f"metadata: {e}"]
+    again = sinks.read_metadata(sinks.archive_metadata(t["tiles"], t["block_faces"], m["version"], tuple(range(meta["minzoom"], meta["maxzoom"] + 1))))
+    same = ("version", "minzoom", "maxzoom", "bounds", "feature_count", "tile_count", "tile_bytes", "tile_bytes_max", "tile_bytes_p95", "raw_bytes", "zoom_metrics", "json")
+    wrong += [f"metadata: {k} isn't what the tiles say" for k in same if meta[k] != again[k]]
+    from sidetrace.operators import refresh
+
+    found = refresh.counts(doc, t, T.decode_tiles(t["tiles"]))
+    wrong += [f"count {k} is {found.get(k)}, not {n}" for k, n in m["counts"].items() if found.get(k) != n]
+    return wrong + [f"{r['rule']}: {r['id']}" for r in store.violations(t).union(store.load_errors(t)).limit(10).collect()]
+
+
 def same_tables(expected: DataFrame, actual: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows (rule, id) where two tables, rebuilt independently, differ in the digests of their records."""
     one, two = (df.select(F.col(key).cast("string").alias("id"), D.record_digest(*sorted(columns)).alias("digest")) for df in (expected, actual))

@@ -95,3 +95,28 @@ def tile(tiles: DataFrame, z: int, x: int, y: int) -> bytes | None:
     if bytes(row[0][:2]) != b"\x1f\x8b":
         raise ValueError("a stored tile isn't gzip")
     return bytes(row[0])
+
+
+def tile_response(tiles: DataFrame, current: str | None, version: str, z: int, x: int, y: int, if_none_match: str | None = None) -> tuple[int, dict[str, str], bytes]:
+    """(status, headers, body) for one tile of a version: 503 without a release, 404 for another version or no such place, 304 for a known ETag, 204 for an empty tile.
+
+    A version's tiles never change, so the ETag is made of version and place and answers may be kept for ever.
+    """
+    if current is None:
+        return 503, {"Retry-After": "60"}, b""
+    if version != current:
+        return 404, {}, b""
+    headers = {"ETag": f'"{version}-{z}-{x}-{y}"', "Cache-Control": "public, max-age=31536000, immutable"}
+    asked = {t.strip().removeprefix("W/") for t in (if_none_match or "").split(",")}
+    try:
+        if headers["ETag"] in asked or "*" in asked:
+            return 304, headers, b""
+        data = tile(tiles, z, x, y)
+    except BadRequest:
+        return 404, {}, b""
+    return (204, headers, b"") if data is None else (200, headers | {"Content-Type": "application/vnd.mapbox-vector-tile", "Content-Encoding": "gzip"}, data)
+
+
+def with_state(column: Column, *states: str) -> Column:
+    """The layer filter by state or reason: whether a feature's value is one of those shown."""
+    return F.coalesce(column.isin(*states), F.lit(False))

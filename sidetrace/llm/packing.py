@@ -137,23 +137,24 @@ def _plan(histogram: dict[int, int], capacity: int, least: int, full: bool = Fal
 
 
 def places(shapes: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, list[np.ndarray]]:
-    """For each length its ranges of ranks: ends of the ranges, first sequence, slots a bin, and the slots' offsets."""
+    """For each length its ranges of ranks: ends of the ranges, first sequence, slots a bin, and the first slot's offset.
+
+    A bin holds its pieces from the longest to the shortest, so the slots of one length stand side by side.
+    """
     out: dict[int, list[list]] = {}
     first = 0
     for shape, n in shapes:
-        offsets: dict[int, list[int]] = {}
         at = 0
-        for x in shape:
-            offsets.setdefault(x, []).append(at)
-            at += x
-        for x, slots in offsets.items():
+        sizes, times = np.unique(shape, return_counts=True)
+        for x, slots in zip(sizes[::-1].tolist(), times[::-1].tolist(), strict=True):
             ranges = out.setdefault(x, [[0], [], [], []])
-            ranges[0].append(ranges[0][-1] + n * len(slots))
+            ranges[0].append(ranges[0][-1] + n * slots)
             ranges[1].append(first)
-            ranges[2].append(len(slots))
-            ranges[3].append(slots)
+            ranges[2].append(slots)
+            ranges[3].append(at)
+            at += x * slots
         first += n
-    return {x: [np.array(r[0]), np.array(r[1]), np.array(r[2]), np.array([s + [0] * (max(r[2]) - len(s)) for s in r[3]])] for x, r in out.items()}
+    return {x: [np.array(column, np.int64) for column in r] for x, r in out.items()}
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -182,11 +183,11 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             sequence, offset = np.zeros(len(at_rank), np.int64), np.zeros(len(at_rank), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
-                ends, first, slots, offsets = table[int(x)]
+                ends, first, slots, base_at = table[int(x)]
                 k = np.searchsorted(ends, at_rank[at], "right") - 1
                 bin_, slot = np.divmod(at_rank[at] - ends[k], slots[k])
                 sequence[at] = first[k] + bin_
-                offset[at] = offsets[k, slot]
+                offset[at] = base_at[k] + slot * x
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in order), pa.array(sequence), pa.array(offset)], names=[*order, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

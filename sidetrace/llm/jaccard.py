@@ -35,6 +35,8 @@ TILE_ROWS = 800
 COLUMNS = 2048
 #: Documents, about, of the sample that tells common n-grams, and in how many of them such an n-gram is.
 SAMPLE, COMMON = 16_000, 5
+#: Block keys that a task combines before they are shuffled.
+COMBINED = 1 << 19
 #: Cuttings of the n-gram space before empty blocks and common ones count as content.
 CUTS = 5
 
@@ -205,14 +207,38 @@ def common_grams(docs: DataFrame, rows: int, n: int) -> np.ndarray:
     return np.sort(found["gram"].to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
+def combined(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, name) rows that join the same names as all given ones, with each key once.
+
+    The least name of a key stays with it; each other one is tied to that name under a key of their own, once however many
+    keys they share. So of a key that very many rows have, few rows meet, and the ties spread.
+    """
+    order = np.lexsort((names, keys))
+    keys, names = keys[order], names[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    least = names[first][np.cumsum(first) - 1]
+    a, b = least[~first], names[~first]
+    if not len(a):
+        return keys, names
+    pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    tie = textvec.signed(textvec.mix(textvec.mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64)))
+    return np.concatenate([keys[first], tie, tie]), np.concatenate([names[first], pairs[:, 0], pairs[:, 1]])
+
+
 def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
     """Edges (a, b) between names of different sets that agree on a block."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = Blocks(percent, shared.value), set()
+        keys, names, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, s = combined(np.concatenate(keys), np.concatenate(names))
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["key", "sig"])
+
         for batch in batches:
-            keys, names, size = [], [], 0
             for _, grams in sets(batch["text"], n):
                 if not len(grams):
                     continue
@@ -224,8 +250,11 @@ def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None
                 keys.append(textvec.signed(cut.keys(grams)))
                 names.append(np.full(len(keys[-1]), sig, np.int64))
                 size += len(keys[-1])
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "sig"])
+                if size >= COMBINED:
+                    yield flush()
+                    keys, names, size = [], [], 0
+        if size:
+            yield flush()
 
     keys = docs.select("text").mapInArrow(make, "key long, sig long")
     keys.createOrReplaceTempView("_jaccard_keys")
@@ -286,7 +315,8 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     near = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("community"))
     members = classes.join(near, "sig").select(F.col("class_id").alias("doc_id"), "community", "n")
     tiles = members.groupBy("community").agg(F.greatest(F.ceil(F.sum("n") / TILE_GRAMS), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("tiles"))
-    placed = members.join(tiles, "community").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    # only communities of several tiles are looked up, so that the rows of a large one stay where they are
+    placed = members.join(small_or_shuffled(tiles.where("tiles > 1")), "community", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.select("doc_id", "community", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), (F.col("tile") > F.col("with")).cast("int").alias("side")).distinct().checkpoint()
     found = links(docs, placed, n, percent).checkpoint()

@@ -107,3 +107,17 @@ def test_links_with_an_empty_tile_count_once(spark, monkeypatch):
     texts = [t for i in range(12) for t in (prose(i, 60), prose(i, 60) + " end")]
     rows = J.jaccard_join(documents(spark, texts)).collect()
     assert [r.n_links for r in rows] == [1] * 24 and all(r.component_id == r.doc_id - r.doc_id % 2 for r in rows)
+
+
+def test_combined_keys_join_the_same_names():
+    r = np.random.default_rng(4)
+    keys, names = r.integers(0, 60, 400), r.integers(0, 90, 400)
+    k, s = J.combined(keys, names)
+
+    def groups(keys, names):
+        root = J.roots(1000, names, keys + 500) if len(keys) else []
+        return {tuple(sorted(x for x in set(names.tolist()) if root[x] == c)) for c in set(root[names].tolist())}
+
+    _, small = np.unique(k, return_inverse=True)
+    assert groups(keys, names) == groups(small, s)
+    assert np.bincount(small).max() <= 2 and len(J.combined(keys[:0], names[:0])[0]) == 0

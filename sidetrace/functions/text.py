@@ -155,7 +155,7 @@ def format_bytes(v: Column) -> Column:
     """A size for people: whole bytes, else one decimal of KB, MB, GB or TB of 1024."""
     out = F.concat(v.cast("long").cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(v >= 1024**power, F.concat(F.format_number(v / 1024**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(v >= float(1024**power), F.format_string(f"%.1f {unit}", v / float(1024**power))).otherwise(out)
     return out
 
 

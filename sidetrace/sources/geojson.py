@@ -47,7 +47,7 @@ def read_line_features(spark: SparkSession, path: str, properties: tuple[str, ..
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("_at", F.monotonically_increasing_id())
     row = "source_row" if kind == "lines" else "frequency_row"
     flat = rows.select("_at", "properties.*", F.col("geometry.type").alias("_kind"), F.col("geometry.coordinates").alias("_json"))
-    return guarded(numbered(geometry(flat, kind), "_at", row).drop("_at"), row, None)
+    return guarded(numbered(geometry(flat, kind), "_at", name=row).drop("_at"), row, None)
 
 
 def geometry(df: DataFrame, kind: str) -> DataFrame:

@@ -93,16 +93,11 @@ def matches(docs: DataFrame, items: DataFrame, n: int, coverage: float) -> DataF
     w = windows(items, n).checkpoint()
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     d = docs.join(small_or_shuffled(suspects(docs, w, coverage).checkpoint()), "doc_id", "left_semi").select("doc_id", template(text_or_empty("text")).alias("t"))
+    # a document's words are cut row by row, so no row holds all its windows
     sizes = [r[0] for r in w.select("size").distinct().orderBy("size").collect()]  # n values at most
-
-    def all_windows(size: int) -> Column:
-        starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k: F.struct(k.alias("start"), F.slice("t", k + 1, size).alias("t")))
-
-    cuts = [all_windows(size) for size in sizes]
-    if not cuts:
-        cuts = [F.array().cast("array<struct<start:int,t:array<struct<raw:string,form:string>>>>")]
-    cut = d.select("doc_id", F.explode(F.concat(*cuts)).alias("c")).select("doc_id", "c.start", F.col("c.t.raw").alias("d_raw"), F.col("c.t.form").alias("d_form"))
+    sized = d.select("doc_id", "t", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).where("size(t) >= size")
+    starts = sized.select("doc_id", "t", "size", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("start"))
+    cut = starts.select("doc_id", "start", F.slice("t", F.col("start") + 1, F.col("size")).alias("c")).select("doc_id", "start", F.col("c.raw").alias("d_raw"), F.col("c.form").alias("d_form"))
     # by the template and by the words themselves; where the two are one, once
     cut = cut.select("*", F.explode(F.array_distinct(F.array(F.xxhash64(F.size("d_form"), F.array_join("d_form", " ")), F.xxhash64(F.size("d_raw"), F.array_join("d_raw", " "))))).alias("hash"))
     keyed = w.select(*(c for c in w.columns if c != "hash"), F.explode(F.array_distinct(F.array("hash", F.xxhash64(F.size("raw"), F.array_join("raw", " "))))).alias("hash"))

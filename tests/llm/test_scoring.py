@@ -126,6 +126,37 @@ def test_slots_must_agree(spark):
     assert sorted(r.doc_id for r in decontam.contamination(docs, items).collect()) == [0, 2]
 
 
+def test_a_very_long_document_is_cut_into_windows(spark):
+    item = "the red fox met the old hen near the barn and they spoke of rain"
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    docs = documents(spark, [prose(1, 200_000) + " " + item + " " + prose(2, 100_000), prose(3, 100_000)])
+    assert [(r.doc_id, r.n_matched, r.n_windows) for r in decontam.contamination(docs, items).collect()] == [(0, 8, 8)]
+
+
+def test_the_fit_is_a_minimum_of_the_plain_likelihood():
+    r = np.random.default_rng(3)
+    rows = [np.flatnonzero(r.random(4) < 0.5) for _ in range(300)]
+    score = np.array([sum((1.5, -1.0, 0.5, 0.0)[k] for k in row) for row in rows])
+    grades = np.digitize(score + r.logistic(size=300), [0.0, 1.0, 2.0])
+    weights, thresholds = toxicity.fit_cumulative(rows, grades, 4, rounds=3000)
+
+    def loss(x, steps):
+        total = 0.0
+        for row, g in zip(rows, grades, strict=True):  # one row at a time, from the definition
+            s = sum(x[k] for k in row)
+            above = [1.0, *(1 / (1 + math.exp(t - s)) for t in steps), 0.0]
+            total -= math.log(above[g] - above[g + 1])
+        return total / len(rows) + 0.5e-5 * sum(v * v for v in x)
+
+    best = loss(weights, thresholds)
+    for k in range(7):
+        for step in (-0.05, 0.05):
+            x = np.r_[weights, thresholds]
+            x[k] += step
+            assert loss(x[:4], x[4:]) > best - 1e-6
+    assert (np.diff(thresholds) > 0).all()
+
+
 FILES = [
     ("a/LICENSE", "Released under the MIT License.\nmore words"), ("a/b/x.txt", "plain text"), ("a/b/y.txt", "# Licensed under the Apache License, Version 2.0.\ncode"), ("c/z.txt", None), ("c/d/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
     ("c/d/e/f.txt", ""), ("top.txt", "this file is by us and free to use under the sun"), ("a/b/c/LICENSE", "nothing to see"), ("a/b/c/w.txt", "x"), (None, "Released under the MIT License."), ("a/b/x.txt", "plain text"),

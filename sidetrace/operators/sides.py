@@ -62,8 +62,12 @@ def overlaps(traces: DataFrame, polys: DataFrame, tolerance: float = 0.0) -> Dat
 
     Candidates come from a grid join of boxes; the exact clip runs only on them. Pieces under the least length are noise.
     """
-    pairs = box_join(traces.select("source_row", "side", "sources", "traces", "min_x", "min_y", "max_x", "max_y"), polys.select("frequency_row", "polys", "min_x", "min_y", "max_x", "max_y"), CELL, tolerance)
-    pairs = pairs.select("l_source_row", "l_side", "l_sources", "l_traces", "r_frequency_row", "r_polys")
+    box = ["min_x", "min_y", "max_x", "max_y"]
+    met = box_join(traces.select("source_row", "side", *box), polys.select("frequency_row", *box), CELL, tolerance)
+    met = met.select(F.col("l_source_row").alias("source_row"), F.col("l_side").alias("side"), F.col("r_frequency_row").alias("frequency_row"))
+    # only ids went through the grid; shapes join the pairs that are left
+    pairs = met.join(traces.select("source_row", "side", "sources", "traces"), ["source_row", "side"]).join(polys.select("frequency_row", "polys"), "frequency_row")
+
     schema = pa.schema([("source_row", pa.int64()), ("side", pa.string()), ("frequency_row", pa.int64()), ("part", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("source_lo", pa.float64()), ("source_hi", pa.float64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +81,7 @@ def overlaps(traces: DataFrame, polys: DataFrame, tolerance: float = 0.0) -> Dat
                             out.append((row, side, freq, part, float(lo), float(hi), *map(float, mapped)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return pairs.select(F.col("l_source_row").cast("long"), "l_side", "l_sources", "l_traces", F.col("r_frequency_row").cast("long"), "r_polys").mapInArrow(make, "source_row long, side string, frequency_row long, part int, lo double, hi double, source_lo double, source_hi double")
+    return pairs.select(F.col("source_row").cast("long"), "side", "sources", "traces", F.col("frequency_row").cast("long"), "polys").mapInArrow(make, "source_row long, side string, frequency_row long, part int, lo double, hi double, source_lo double, source_hi double")
 
 
 def pieces(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,10 +55,10 @@ def q_tolerance_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_join_with_tolerance(a, b, 1 / 64, float(_PAD), "id").select("l_id", "r_id", F.col("used_tolerance").cast("string").alias("used_tolerance"))
 
 
-@R.add("SELECT a.s_nationkey AS side, a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (a.s_acctbal > 0) <> (b.s_acctbal > 0) AND least(a.s_acctbal, b.s_acctbal) + 900 - greatest(a.s_acctbal, b.s_acctbal) > 0.000001")
+@R.add("SELECT a.s_nationkey AS side, a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (a.s_acctbal > 5000) <> (b.s_acctbal > 5000) AND least(a.s_acctbal, b.s_acctbal) + 3000 - greatest(a.s_acctbal, b.s_acctbal) > 0.000001")
 def q_pair_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation as spans of 900 whose signs differ and that share a stretch."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("side"), F.col("s_suppkey").alias("frequency_row"), (F.col("s_acctbal") > 0).alias("signature"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 900).alias("hi"))
+    """Suppliers of a nation as spans of 3000 whose signs differ and that share a stretch."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("side"), F.col("s_suppkey").alias("frequency_row"), (F.col("s_acctbal") > 5000).alias("signature"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 3000).alias("hi"))
     return sides.conflicts(s, ["side"])
 
 

@@ -6,6 +6,7 @@ folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -56,6 +57,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, so that shuffle files that nothing refers to go now and not when its heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

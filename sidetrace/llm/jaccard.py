@@ -12,6 +12,10 @@ the overlap counts accumulate, and pairs below the bound that their sizes set ar
 tiles, and each pair of tiles is one product, so no group meets in one task. Copies of a set are one row throughout.
 
 No link is lost: the blocks are a pigeonhole argument, not a sketch. Sets are held as 64-bit n-gram hashes.
+
+Block keys are most of what is shuffled. They travel as packed runs of a bucket of the key space, 40 bits of the key and 40
+of the set's name each: two keys or names that fall together add candidates and take none. Texts of candidates are
+shuffled in rounds of a bounded number of rows, and what a round has shuffled goes before the next.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidetrace.llm import textvec
-from sidetrace.llm.common import components, prepare, runs, small_or_shuffled
+from sidetrace.llm.common import BROADCAST_ROWS, components, prepare, release, runs, small_or_shuffled
 
 #: N-grams of a tile of candidate sets; its product is done in memory.
 TILE_GRAMS = 500_000
@@ -37,6 +41,10 @@ COLUMNS = 2048
 SAMPLE, COMMON = 16_000, 5
 #: Block keys that a task combines before they are shuffled.
 COMBINED = 1 << 19
+#: N-grams, about, whose keys one bucket of the key space gets; a bucket is joined in memory.
+BUCKET_GRAMS = 1 << 20
+#: Bits of a set's signature that name it among the candidates.
+NAME = (1 << 40) - 1
 #: Cuttings of the n-gram space before empty blocks and common ones count as content.
 CUTS = 5
 
@@ -226,8 +234,22 @@ def combined(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([keys[first], tie, tie]), np.concatenate([names[first], pairs[:, 0], pairs[:, 1]])
 
 
-def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
-    """Edges (a, b) between names of different sets that agree on a block."""
+def packed(keys: np.ndarray, names: np.ndarray) -> bytes:
+    """The low 40 bits of sorted keys and of their names, byte by byte of all, the highest first."""
+    return b"".join(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes() for x in (keys, names))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and names of packed()."""
+    planes = np.frombuffer(data, np.uint8).reshape(2, 5, -1)
+    out = np.zeros((2, planes.shape[2], 8), np.uint8)
+    out[:, :, 3:] = planes.transpose(0, 2, 1)
+    keys, names = out.view(">u8")[:, :, 0].astype(np.int64)
+    return keys, names
+
+
+def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None = None, buckets: int = 1) -> DataFrame:
+    """Edges (a, b) between names (the NAME bits of signatures) of different sets that agree on a block."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +258,17 @@ def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None
 
         def flush() -> pa.RecordBatch:
             k, s = combined(np.concatenate(keys), np.concatenate(names))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["key", "sig"])
+            k = k.view(np.uint64)
+            order = np.argsort(k)
+            k, s = k[order], s[order]
+            bucket = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            low = k & np.uint64(NAME)
+            rows = []
+            for i, j in zip(at, [*at[1:], len(k)], strict=True):
+                order = np.argsort(low[i:j])
+                rows.append(packed(low[i:j][order], s[i:j][order]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rows, pa.binary())], names=["bucket", "packed"])
 
         for batch in batches:
             for _, grams in sets(batch["text"], n):
@@ -248,7 +280,7 @@ def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None
                 if len(seen) < 200_000:
                     seen.add(sig)
                 keys.append(textvec.signed(cut.keys(grams)))
-                names.append(np.full(len(keys[-1]), sig, np.int64))
+                names.append(np.full(len(keys[-1]), sig & NAME, np.int64))
                 size += len(keys[-1])
                 if size >= COMBINED:
                     yield flush()
@@ -256,10 +288,20 @@ def candidates(docs: DataFrame, n: int, percent: int, common: np.ndarray | None
         if size:
             yield flush()
 
-    keys = docs.select("text").mapInArrow(make, "key long, sig long")
-    keys.createOrReplaceTempView("_jaccard_keys")
-    rows = docs.sparkSession.sql("select least_sig a, sig b from (select sig, min(sig) over (partition by key) least_sig from _jaccard_keys) where sig <> least_sig")
-    return rows.distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, ["bucket"]):
+            both = [unpacked(x) for x in part["packed"].to_pylist()]
+            keys, names = (np.concatenate([b[i] for b in both]) for i in (0, 1))
+            order = np.lexsort((names, keys))
+            keys, names = keys[order], names[order]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            least = names[first][np.cumsum(first) - 1]
+            pairs = np.unique(np.stack([least, names], axis=1)[least != names], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = docs.select("text").mapInArrow(make, "bucket long, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
@@ -306,20 +348,33 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     own text, and sets with the same smallest doc_id count as one; a row without doc_id is returned without ids and links
     nothing. An empty table gives no rows. Other columns are not read.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     base = profiles(docs, n)
     solid = base.where("n_shingles > 0 and doc_id is not null")
     classes = solid.groupBy("sig", "sig2").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n")).checkpoint()
     known = docs.where("doc_id is not null")
-    edges = candidates(known, n, percent, common_grams(known, solid.count(), n))
-    near = components(edges).select(F.col("node").alias("sig"), F.col("component").alias("community"))
-    members = classes.join(near, "sig").select(F.col("class_id").alias("doc_id"), "community", "n")
+    rows, total = solid.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    buckets = max(total // BUCKET_GRAMS, min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    near = components(candidates(known, n, percent, common_grams(known, rows, n), buckets)).select(F.col("node").alias("name"), F.col("component").alias("community"))
+    release(spark)
+    # different sets of one name make no edge, so they are a community at least
+    classes = classes.withColumn("name", F.col("sig").bitwiseAND(F.lit(NAME)))
+    twins = classes.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.col("name").alias("community")).join(near, "name", "left_anti")
+    members = classes.join(near.union(twins), "name").select(F.col("class_id").alias("doc_id"), "community", "n")
     tiles = members.groupBy("community").agg(F.greatest(F.ceil(F.sum("n") / TILE_GRAMS), F.ceil(F.count("*") / TILE_ROWS)).cast("int").alias("tiles"))
     # only communities of several tiles are looked up, so that the rows of a large one stay where they are
     placed = members.join(small_or_shuffled(tiles.where("tiles > 1")), "community", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.select("doc_id", "community", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), (F.col("tile") > F.col("with")).cast("int").alias("side")).distinct().checkpoint()
-    found = links(docs, placed, n, percent).checkpoint()
+    rows = placed.count()
+    rounds = -(-2 * rows // BROADCAST_ROWS) if rows > BROADCAST_ROWS else 1
+    found = None
+    for k in range(rounds):
+        part = placed if rounds == 1 else placed.where(F.pmod(F.xxhash64("community", "i", "j"), F.lit(rounds)) == k)
+        more = links(docs, part, n, percent).checkpoint()
+        found = more if found is None else found.union(more)
+        if k + 1 < rounds:
+            release(spark)
     joined = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
     named = counts.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("class_id"), "n_links", "component")

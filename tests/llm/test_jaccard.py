@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,42 @@ def test_combined_keys_join_the_same_names():
     _, small = np.unique(k, return_inverse=True)
     assert groups(keys, names) == groups(small, s)
     assert np.bincount(small).max() <= 2 and len(J.combined(keys[:0], names[:0])[0]) == 0
+
+
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_block_keys_are_shuffled_narrow(spark):
+    texts = [prose(i, 400) for i in range(400)]
+    keys = sum(len(J.Blocks(80).keys(g)) for _, g in J.sets(pa.array(texts), 5))
+    docs, before = documents(spark, texts), shuffled(spark)
+    assert J.candidates(docs, 5, 80, np.zeros(0, np.uint64)).collect() == []
+    assert shuffled(spark) - before < 13 * keys
+
+
+def test_rounds_lose_nothing_and_shuffle_candidates_only(spark, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 400, raising=False)
+    monkeypatch.setattr(J.small_or_shuffled, "__defaults__", (400,))
+    monkeypatch.setattr(J, "TILE_ROWS", 7)
+    texts = [edited(i, prose(1, 120), i % 9) for i in range(60)] + [edited(i, prose(2 + i // 3, 60), i % 3) for i in range(30)]
+    alone = [prose(100 + i, 20) + " " + "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=40_000)) for i in range(40)]
+    docs, before = documents(spark, texts + alone), shuffled(spark)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_join(docs, 4, 85).collect())
+    assert got == brute(texts + alone, 4, 85)
+    assert shuffled(spark) - before < sum(map(len, alone)) // 2
+
+
+def test_sets_of_one_name_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(J, "NAME", 0, raising=False)
+    texts = [edited(i, prose(i % 5, 80), i % 3) for i in range(20)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_join(documents(spark, texts), 4, 85).collect())
+    assert got == brute(texts, 4, 85)
+
+
+def test_packed_keys_come_back():
+    r = np.random.default_rng(6)
+    keys, names = np.sort(r.integers(0, 1 << 40, 500).astype(np.uint64)), r.integers(0, 1 << 40, 500)
+    k, s = J.unpacked(J.packed(keys, names))
+    assert (k == keys.astype(np.int64)).all() and (s == names).all()
